@@ -115,6 +115,10 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
 
 FIXTURE_NAMES = tuple(_CTES)
 
+# Materialised once per query: DuckDB 2.0 fails with an internal
+# dictionary-vector error when this CTE is inlined into the audience joins.
+_MATERIALIZED = {"pref_current"}
+
 
 def _order(names) -> list[str]:
     out: list[str] = []
@@ -136,7 +140,8 @@ def with_fixtures(body: str, needs, latest_day: int = 20240130) -> str:
     parts = []
     for name in _order(needs):
         text = _CTES[name][1].replace("{latest_day}", str(int(latest_day)))
-        parts.append(f"{name} AS ({text}\n)")
+        mat = "MATERIALIZED " if name in _MATERIALIZED else ""
+        parts.append(f"{name} AS {mat}({text}\n)")
     if not parts:
         return body
     body = body.strip()
