@@ -231,3 +231,11 @@ def q_lifecycle_board(spark, d):
 def q_limit_preview(spark, d):
     fx = fixtures(spark, d)
     return audience.preview(audience.audience_select(fx.pref_current, fx.contacts, fx.devices, P), 1)
+
+
+# -- 2.1-2.8 expression-level keys ------------------------------------------------------
+
+from daybook.plans import primitives as _prim  # noqa: E402
+
+for _k, _f in _prim.SPARK.items():
+    register(_k, _prim.SQL.get(_k))(_f)
