@@ -56,17 +56,30 @@ def first_link(link: Column) -> Column:
     return F.when(F.count(F.when(link.isNull(), 1)) > 0, F.lit(None).cast("date")).otherwise(F.min(link))
 
 
-def history_days(norm: DataFrame) -> DataFrame:
+def in_outage(link: Column, params: Params = DEFAULT) -> Column:
+    cond = F.lit(False)
+    for lo, hi in params.outages:
+        cond = cond | link.between(F.lit(lo), F.lit(hi))
+    return F.coalesce(cond, F.lit(False))
+
+
+def history_days(norm: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Collapse normalised rows to (account_id, partition_date).
 
     Columns: ``pref_flag``, ``first_link`` (link day of the day's first row),
-    ``n_rows`` (rows of that day), ``prev_flag`` (flag of the previous
-    snapshot day of the account, null on its first day).
+    ``n_rows`` (rows of that day), ``has_regular`` (some row's link day is
+    outside the outage ranges), ``outage_links`` (the distinct link days inside
+    them; at most the number of outage days), ``prev_flag`` (flag of the
+    previous snapshot day of the account, null on its first day).
     """
+    link = F.col("link_date")
+    out = in_outage(link, params)
     days = norm.groupBy("account_id", "partition_date").agg(
         F.first("pref_flag").alias("pref_flag"),
-        first_link(F.col("link_date")).alias("first_link"),
+        first_link(link).alias("first_link"),
         F.count(F.lit(1)).alias("n_rows"),
+        F.max(~out).alias("has_regular"),
+        F.collect_set(F.when(out, link)).alias("outage_links"),
     )
     return with_previous(days)
 

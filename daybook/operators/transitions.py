@@ -164,11 +164,20 @@ def pref_changes(days: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def pref_ledger_daily(norm: DataFrame, days: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def booked_days(days: DataFrame) -> DataFrame:
+    """Every day some normalised row is booked on: its link day when inside an
+    outage range, else the day before its snapshot."""
+    regular = F.when(F.col("has_regular"), F.array(F.date_add("partition_date", -1))).otherwise(
+        F.array().cast("array<date>")
+    )
+    return days.select(F.explode(F.array_union(regular, F.col("outage_links"))).alias("booked_date")).distinct()
+
+
+def pref_ledger_daily(days: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Per booked day: opt-outs, opt-ins, set-up opt-ins and opt-outs, and their sum.
 
     A booked day exists when any normalised row maps to it, even if no first
-    row does (its sums are then 0); ``norm`` supplies that day set.
+    row does (its sums are then 0); ``booked_days`` supplies that day set.
     """
     sums = (
         pref_changes(days, params)
@@ -180,7 +189,7 @@ def pref_ledger_daily(norm: DataFrame, days: DataFrame, params: Params = DEFAULT
             F.sum("optout_during_oobe").alias("optout_during_oobe"),
         )
     )
-    booked = norm.select(remap_day(F.col("link_date"), F.col("partition_date"), params).alias("booked_date")).distinct()
+    booked = booked_days(days)
     z = F.lit(0).cast("bigint")
     out = booked.join(sums, "booked_date", "left").select(
         F.col("booked_date").alias("preference_change_date"),

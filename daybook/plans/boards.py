@@ -30,24 +30,24 @@ class Inputs:
 
 
 class History:
-    """Normalised history and its day grain, built once per board.
+    """The day grain of the snapshot history, built once per board.
 
-    ``persist`` keeps the two shared results for the blocks that read them;
-    lost blocks are recomputed from lineage, so executor loss is harmless.
+    Several blocks read it; ``persist`` keeps it (memory, spilling to disk)
+    so the history is scanned and unnested once.  Lost blocks are recomputed
+    from lineage, so executor loss costs time, not results.  Its size is one
+    row per (account, snapshot day), independent of devices per account.
     """
 
-    def __init__(self, src, params: Params = DEFAULT, persist: bool = False):
+    def __init__(self, src, params: Params = DEFAULT, persist: bool = True):
         norm = history.history_normalise(src.pref_history, src.devices, params)
-        days = history.history_days(norm)
+        days = history.history_days(norm, params)
         if persist:
-            norm = norm.persist(StorageLevel.MEMORY_AND_DISK)
             days = days.persist(StorageLevel.MEMORY_AND_DISK)
-        self.norm, self.days = norm, days
+        self.days = days
         self._persisted = persist
 
     def release(self) -> None:
         if self._persisted:
-            self.norm.unpersist()
             self.days.unpersist()
 
 
@@ -85,7 +85,7 @@ def lifecycle_blocks(src, params: Params, h: History) -> list[tuple[DataFrame, s
         (engagement.clicks_by_topic(src.clicked, params), "email_newsletter_click"),
         (engagement.opens_by_topic(src.opened, params), "email_newsletter_open"),
         (engagement.optouts_by_topic(src.opted_out, params), "email_newsletter_opt_out"),
-        (transitions.pref_ledger_daily(h.norm, h.days, params), "preference_change_date"),
+        (transitions.pref_ledger_daily(h.days, params), "preference_change_date"),
         (transitions.delink_daily(cal, h.days, params), "delink_date"),
         (after, "partition_date2"),
     ]

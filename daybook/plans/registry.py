@@ -39,7 +39,7 @@ def fixtures(spark: SparkSession, sf_dir: str) -> Fixtures:
 
 
 def _days(fx: Fixtures) -> DataFrame:
-    return history.history_days(history.history_normalise(fx.pref_history, fx.devices, P))
+    return history.history_days(history.history_normalise(fx.pref_history, fx.devices, P), P)
 
 
 def _links(fx: Fixtures) -> DataFrame:
@@ -154,9 +154,7 @@ for _key, _fn, _tab in [
 
 @register("pref_ledger_daily", O.pref_ledger_daily())
 def q_pref_ledger_daily(spark, d):
-    fx = fixtures(spark, d)
-    norm = history.history_normalise(fx.pref_history, fx.devices, P)
-    return transitions.pref_ledger_daily(norm, history.history_days(norm), P)
+    return transitions.pref_ledger_daily(_days(fixtures(spark, d)), P)
 
 
 @register("pref_day_remap", O.pref_day_remap())

@@ -13,10 +13,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", os.environ.get("DAYBOOK_ADVISORY_BYTES", "64m"))
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", os.environ.get("DAYBOOK_MIN_PARTITION_BYTES", "1m"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("DAYBOOK_DRIVER_MEMORY", "16g"))
         .getOrCreate()

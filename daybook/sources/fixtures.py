@@ -100,20 +100,28 @@ class Fixtures:
         )
 
     @cached_property
-    def pref_history(self) -> DataFrame:
-        """one snapshot row per (account, UTC day) holding the links made so far."""
-        snap = self.events.groupBy(
-            F.col("user_id").alias("account_id"), "utc_day", "partition_day"
-        ).agg((F.max_by("event_type", "event_id") != "error").alias("pref_flag"))
+    def snapshots(self) -> DataFrame:
+        """Flag per (account, UTC day): the day's last event (by id) is not an error."""
+        return self.events.groupBy(F.col("user_id").alias("account_id"), "utc_day", "partition_day").agg(
+            F.max_by(F.col("event_type") != "error", "event_id").alias("pref_flag")
+        )
+
+    def _with_links(self, snap: DataFrame) -> DataFrame:
+        """Attach to each snapshot row the account's links made on or before its day."""
         lk = self.links
         j = snap.join(lk, (snap.account_id == lk.account_id) & (lk.link_day <= snap.utc_day)).select(
             snap.account_id, "pref_flag", "partition_day", "device_id", "ms"
         )
         return j.groupBy("account_id", "pref_flag", "partition_day").agg(
-            F.sort_array(
-                F.collect_list(F.struct(F.col("device_id"), F.col("ms").alias("time_linked_with_user_ms")))
-            ).alias("device_data")
-        ).select("account_id", "pref_flag", "device_data", "partition_day")
+            F.collect_list(F.struct(F.col("device_id"), F.col("ms").alias("time_linked_with_user_ms"))).alias(
+                "device_data"
+            )
+        )
+
+    @cached_property
+    def pref_history(self) -> DataFrame:
+        """one snapshot row per (account, UTC day) holding the links made so far."""
+        return self._with_links(self.snapshots).select("account_id", "pref_flag", "device_data", "partition_day")
 
     @cached_property
     def pref_latest(self) -> DataFrame:
@@ -121,25 +129,28 @@ class Fixtures:
 
     @cached_property
     def pref_current(self) -> DataFrame:
-        last = self.pref_history.groupBy("account_id").agg(
-            F.max_by(F.struct("pref_flag", "device_data"), "partition_day").alias("s")
+        """each account's last snapshot, with locale and segment of the same-key customer."""
+        last = self.snapshots.groupBy("account_id").agg(
+            F.max_by(F.struct("pref_flag", "utc_day", "partition_day"), "partition_day").alias("s")
         )
+        last = last.select("account_id", "s.pref_flag", "s.utc_day", "s.partition_day")
+        cur = self._with_links(last)
         c = self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
         n = self.table("nation").select("n_nationkey", "n_name", "n_regionkey")
         r = self.table("region").select("r_regionkey", "r_name")
         acct = F.col("account_id")
         return (
-            last.join(c, last.account_id == c.c_custkey, "left")
+            cur.join(c, cur.account_id == c.c_custkey, "left")
             .join(n, F.col("c_nationkey") == n.n_nationkey, "left")
             .join(r, F.col("n_regionkey") == r.r_regionkey, "left")
             .select(
                 "account_id",
-                F.col("s.pref_flag").alias("pref_flag"),
+                "pref_flag",
                 F.col("n_name").alias("language"),
                 F.col("r_name").alias("country"),
                 F.when(acct % 7 == 0, F.lit(None).cast("boolean")).otherwise(acct % 11 == 0).alias("country_incorrect"),
                 F.col("c_mktsegment").alias("segment"),
-                F.col("s.device_data").alias("device_data"),
+                "device_data",
             )
         )
 
