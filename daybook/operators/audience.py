@@ -37,7 +37,11 @@ def audience_select(pref_current: DataFrame, contacts: DataFrame, devices: DataF
     c = devices.filter(
         (F.lower("model_name") == params.device_model) & F.lower("product_name").isin(list(params.device_products))
     ).select("device_id")
-    rows = a.join(b, "account_id").join(c, "device_id", "left_semi")
+    # Device test first, then drop the device: one row per account and locale
+    # remains (the partial aggregate collapses a many-device account before
+    # the shuffle), and only that row meets the contact join.
+    owners = a.join(c, "device_id", "left_semi").select("account_id", "language", "country", "control").distinct()
+    rows = owners.join(b, "account_id")
     return rows.select(
         F.col("account_id").alias("opt_out_id"),
         F.col("email").alias("email_address"),

@@ -90,11 +90,12 @@ def attributed_accounts(opted_out: DataFrame, sent: DataFrame) -> DataFrame:
     two logs on a hot message id would emit every pair of their rows.
     """
     sent_ids = sent.select("message_id").distinct()
-    return opted_out.select("account_id", "message_id").join(sent_ids, "message_id", "left_semi").select("account_id")
+    pairs = opted_out.select("account_id", "message_id").distinct()
+    return pairs.join(sent_ids, "message_id", "left_semi").select("account_id").distinct()
 
 
 def campaign_accounts(opted_out: DataFrame, campaigns) -> DataFrame:
-    return opted_out.filter(F.col("campaign_id").isin(list(campaigns))).select("account_id")
+    return opted_out.filter(F.col("campaign_id").isin(list(campaigns))).select("account_id").distinct()
 
 
 def _count_daily(rows: DataFrame, name: str) -> DataFrame:
