@@ -171,6 +171,14 @@ def q_optin_flag(spark, d):
     return ch.groupBy("partition_date").agg(F.sum("optin").alias("optins"), F.sum("optout").alias("optouts"))
 
 
+@register("optout_loose", O.optout_loose_rows())
+def q_optout_loose(spark, d):
+    days = _days(fixtures(spark, d))
+    return days.filter(transitions.optout_loose(F.col("prev_flag"), F.col("pref_flag")) == 1).select(
+        "account_id", "partition_date", "prev_flag", "pref_flag"
+    )
+
+
 @register("setup_flags", O.setup_flags())
 def q_setup_flags(spark, d):
     ch = transitions.pref_changes(_days(fixtures(spark, d)), P)
