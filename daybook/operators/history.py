@@ -36,8 +36,12 @@ def explode_links(prefs: DataFrame, devices: DataFrame, params: Params = DEFAULT
 
 def calendar_from_links(pref_current: DataFrame, devices: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Local days with at least one device link (``cal_date``)."""
-    x = explode_links(pref_current, devices, params, keep=("account_id",))
-    return x.select(local_day_ms("linked_ms", params.local_tz).alias("cal_date")).distinct()
+    return calendar_of(explode_links(pref_current, devices, params, keep=("account_id",)), params)
+
+
+def calendar_of(links: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Calendar from already unnested, filtered links (``linked_ms``)."""
+    return links.select(local_day_ms("linked_ms", params.local_tz).alias("cal_date")).distinct()
 
 
 def history_normalise(history: DataFrame, devices: DataFrame, params: Params = DEFAULT) -> DataFrame:

@@ -41,20 +41,24 @@ class History:
     def __init__(self, src, params: Params = DEFAULT, persist: bool = True):
         norm = history.history_normalise(src.pref_history, src.devices, params)
         days = history.history_days(norm, params)
+        # current links: one row per (account, device) of the newest table
+        links = history.explode_links(src.pref_current, src.devices, params, keep=("account_id", "pref_flag"))
         if persist:
             days = days.persist(StorageLevel.MEMORY_AND_DISK)
-        self.days = days
+            links = links.persist(StorageLevel.MEMORY_AND_DISK)
+        self.days, self.links = days, links
         self._persisted = persist
 
     def release(self) -> None:
         if self._persisted:
             self.days.unpersist()
+            self.links.unpersist()
 
 
 def optout_board(src, params: Params = DEFAULT, calendar: DataFrame | None = None, hist: History | None = None) -> DataFrame:
     """Calendar with strict opt-outs (all / attributed / campaign) and net subscribers."""
     h = hist or History(src, params)
-    cal = calendar if calendar is not None else history.calendar_from_links(src.pref_current, src.devices, params)
+    cal = calendar if calendar is not None else history.calendar_of(h.links, params)
     d, latest = h.days, src.pref_latest
     return spine_join(
         cal,
@@ -68,8 +72,8 @@ def optout_board(src, params: Params = DEFAULT, calendar: DataFrame | None = Non
 
 
 def lifecycle_blocks(src, params: Params, h: History) -> list[tuple[DataFrame, str]]:
-    links = history.explode_links(src.pref_current, src.devices, params, keep=("account_id", "pref_flag"))
-    cal = history.calendar_from_links(src.pref_current, src.devices, params)
+    links = h.links
+    cal = history.calendar_of(links, params)
     after = cohort.cohort_vs_optout(h.days, src.pref_latest, src.first_mail, params)
     return [
         (engagement.activations_daily(links, params), "activation_date"),
@@ -94,9 +98,7 @@ def lifecycle_blocks(src, params: Params, h: History) -> list[tuple[DataFrame, s
 def lifecycle_board(src, params: Params = DEFAULT, hist: History | None = None) -> DataFrame:
     """Calendar of link days with 16 metric blocks, epoch-ms and month name, before ``as_of``."""
     h = hist or History(src, params)
-    cal = history.calendar_from_links(src.pref_current, src.devices, params).filter(
-        F.col("cal_date") < F.lit(params.as_of)
-    )
+    cal = history.calendar_of(h.links, params).filter(F.col("cal_date") < F.lit(params.as_of))
     board = spine_join(cal, lifecycle_blocks(src, params, h))
     return board.withColumn("cal_date_ux", day_epoch_ms(F.col("cal_date"), 8)).withColumn(
         "month", month_name(F.col("cal_date"))
