@@ -7,6 +7,8 @@ or campaign is spread by message id.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +96,10 @@ def optouts_by_type(opted_out: DataFrame, params: Params = DEFAULT) -> DataFrame
 def by_topic(log: DataFrame, params: Params, day_name: str, suffix: str) -> DataFrame:
     """Onboarding-campaign events by topic, from the first log day (local day), no first-event step."""
     rows = log.filter(F.col("campaign_id").isin(list(params.campaigns_onboarding)))
+    # A local day >= D lies in a UTC partition >= D - 1 for any zone: an
+    # implied predicate on the partition column, so old partitions are pruned.
+    earliest = int((params.first_log_day - timedelta(days=1)).strftime("%Y%m%d"))
+    rows = rows.filter(F.col("partition_day") >= F.lit(earliest))
     rows = rows.filter(local_day_us(F.col("t_us"), params.local_tz) >= F.lit(params.first_log_day))
     return _pivot(rows, topic_type(F.col("campaign_id"), params), TOPICS, params, day_name, suffix)
 
