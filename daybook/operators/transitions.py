@@ -218,22 +218,28 @@ def delink_daily(calendar: DataFrame, days: DataFrame, params: Params = DEFAULT)
     """Accounts present on a kept calendar day and absent on the next kept day.
 
     Equivalent to the calendar x accounts expansion with a ``lag``, but costs
-    one row per presence row: the successor of each kept day comes from a
-    ``lead`` over the calendar (one row per day, so it is broadcast), and
-    absence on the successor is a left-anti join on (account, day).
+    one pass over the presence rows.  The successor of each kept day comes
+    from a ``lead`` over the calendar (one row per day, so broadcast).  Each
+    presence row emits itself and a marker "wanted on the successor day";
+    one aggregate on (account, day) then finds markers with no presence.
     """
     kept = kept_days(calendar, params).select("cal_date")
-    succ = kept.select("cal_date", F.lead("cal_date").over(Window.orderBy("cal_date")).alias("next_date")).filter(
-        F.col("next_date").isNotNull()
-    )
+    succ = kept.select("cal_date", F.lead("cal_date").over(Window.orderBy("cal_date")).alias("next_date"))
     presence = days.select("account_id", "partition_date")
-    here = presence.join(F.broadcast(succ), presence.partition_date == succ.cal_date).select(
-        "account_id", F.col("next_date").alias("partition_date")
+    marks = presence.join(F.broadcast(succ), presence.partition_date == succ.cal_date, "left").select(
+        "account_id",
+        F.explode(
+            F.array(
+                F.struct(F.col("partition_date").alias("day"), F.lit(1).alias("present")),
+                F.struct(F.col("next_date").alias("day"), F.lit(0).alias("present")),
+            )
+        ).alias("m"),
     )
-    gone = here.join(presence, ["account_id", "partition_date"], "left_anti").withColumnRenamed(
-        "partition_date", "next_date"
+    marks = marks.select("account_id", "m.day", "m.present").filter(F.col("day").isNotNull())
+    state = marks.groupBy("account_id", "day").agg(F.max("present").alias("present"))
+    counts = state.filter(F.col("present") == 0).groupBy(F.col("day").alias("next_date")).agg(
+        F.count(F.lit(1)).alias("delinks")
     )
-    counts = gone.groupBy("next_date").agg(F.count(F.lit(1)).alias("delinks"))
-    return kept.join(counts, kept.cal_date == counts.next_date, "left").select(
+    return kept.join(F.broadcast(counts), kept.cal_date == counts.next_date, "left").select(
         F.col("cal_date").alias("delink_date"), "delinks"
     )
