@@ -27,3 +27,17 @@ def test_entry_smoke(spark):
     assert df.count() > 0
     assert "cal_date" in df.columns and "month" in df.columns
     assert set(e.queries()) == set(e.oracle_sql())
+
+
+ZONE_KEYS = ["lifecycle_board", "optout_board", "sends_daily", "opens_by_topic", "calendar_from_links", "audience_select", "revenue_91d", "fn_local_day_us", "fn_utc_day_us", "fn_day_epoch_offset"]
+
+
+@pytest.mark.parametrize("zone", ["Asia/Tokyo", "America/Los_Angeles"])
+def test_results_do_not_depend_on_session_zone(spark, duck, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for key in ZONE_KEYS:
+            assert_same(QUERIES[key](spark, SF_SMALL), duck.sql(ORACLE[key]))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
