@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.operators.history import with_previous
 from daybook.params import DEFAULT, Params
 
 
