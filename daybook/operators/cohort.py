@@ -42,7 +42,7 @@ def optout_after_mail_raw(history: DataFrame, first_mail: DataFrame) -> DataFram
     mailed = first_mail.select("account_id")
     rows = history.filter(F.col("pref_flag") == False).join(mailed, "account_id", "left_semi")  # noqa: E712
     return rows.groupBy(F.col("partition_day").cast("bigint").alias("partition_date")).agg(
-        F.countDistinct("account_id").alias("oobe_optout")
+        F.countDistinct("account_id").alias("mailed_optout")
     )
 
 

@@ -159,8 +159,8 @@ def pref_changes(days: DataFrame, params: Params = DEFAULT) -> DataFrame:
         remap_day(link, day, params).alias("booked_date"),
         optout_loose(prev, cur).alias("optout"),
         optin_flag(prev, cur).alias("optin"),
-        s_in.alias("oobe_optin"),
-        s_out.alias("optout_during_oobe"),
+        s_in.alias("setup_optin"),
+        s_out.alias("setup_optout"),
     )
 
 
@@ -185,8 +185,8 @@ def pref_ledger_daily(days: DataFrame, params: Params = DEFAULT) -> DataFrame:
         .agg(
             F.sum("optout").alias("optouts"),
             F.sum("optin").alias("optins"),
-            F.sum("oobe_optin").alias("oobe_optin"),
-            F.sum("optout_during_oobe").alias("optout_during_oobe"),
+            F.sum("setup_optin").alias("setup_optin"),
+            F.sum("setup_optout").alias("setup_optout"),
         )
     )
     booked = booked_days(days)
@@ -195,10 +195,10 @@ def pref_ledger_daily(days: DataFrame, params: Params = DEFAULT) -> DataFrame:
         F.col("booked_date").alias("preference_change_date"),
         F.coalesce("optouts", z).alias("optouts"),
         F.coalesce("optins", z).alias("optins"),
-        F.coalesce("oobe_optin", z).alias("oobe_optin"),
-        F.coalesce("optout_during_oobe", z).alias("optout_during_oobe"),
+        F.coalesce("setup_optin", z).alias("setup_optin"),
+        F.coalesce("setup_optout", z).alias("setup_optout"),
     )
-    return out.withColumn("oobe_linked_account", F.col("oobe_optin") + F.col("optout_during_oobe"))
+    return out.withColumn("setup_linked", F.col("setup_optin") + F.col("setup_optout"))
 
 
 # -- delinks ------------------------------------------------------------------------

@@ -183,7 +183,7 @@ def q_optout_loose(spark, d):
 def q_setup_flags(spark, d):
     ch = transitions.pref_changes(_days(fixtures(spark, d)), P)
     return ch.groupBy("partition_date").agg(
-        F.sum("oobe_optin").alias("oobe_optin"), F.sum("optout_during_oobe").alias("optout_during_oobe")
+        F.sum("setup_optin").alias("setup_optin"), F.sum("setup_optout").alias("setup_optout")
     )
 
 

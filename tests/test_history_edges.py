@@ -90,7 +90,7 @@ def test_ledger_with_nulls_backlogs_and_outages(src, con):
     got = transitions.pref_ledger_daily(src.days, P)
     assert_same(got, q(con, O.ledger_body(), ["hl"]))
     # the backlog and day-before first sightings really occur in the fixture
-    tot = got.agg(F.sum("oobe_optin"), F.sum("optout_during_oobe")).collect()[0]
+    tot = got.agg(F.sum("setup_optin"), F.sum("setup_optout")).collect()[0]
     assert tot[0] >= 2 and tot[1] >= 1
 
 
