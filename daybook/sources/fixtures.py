@@ -111,11 +111,10 @@ class Fixtures:
 
         The join multiplies rows (one per link) right after a small shuffle.
         AQE sizes partitions by shuffle input bytes and would squeeze the
-        expansion into a few tasks, so the snapshot side gets a fixed
-        partition count, keyed as the join needs it.
+        expansion into a few tasks, so the snapshot side is spread over the
+        cluster's cores (its default parallelism), keyed as the join needs it.
         """
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        snap = snap.repartition(n, "account_id")
+        snap = snap.repartition(self.spark.sparkContext.defaultParallelism, "account_id")
         lk = self.links
         j = snap.join(lk, (snap.account_id == lk.account_id) & (lk.link_day <= snap.utc_day)).select(
             snap.account_id, "pref_flag", "partition_day", "device_id", "ms"
