@@ -70,18 +70,23 @@ def in_outage(link: Column, params: Params = DEFAULT) -> Column:
 def history_days(norm: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Collapse normalised rows to (account_id, partition_date).
 
-    Columns: ``pref_flag``, ``first_link`` (link day of the day's first row),
-    ``n_rows`` (rows of that day), ``has_regular`` (some row's link day is
-    outside the outage ranges), ``outage_links`` (the distinct link days inside
-    them; at most the number of outage days), ``prev_flag`` (flag of the
-    previous snapshot day of the account, null on its first day).
+    Columns: ``pref_flag`` and ``first_link`` (flag and link day of the day's
+    first row in (link day, flag) order, nulls first), ``last_flag`` (flag of
+    its last row), ``n_rows`` and ``n_true`` (rows, and rows opted in),
+    ``has_regular`` (some row's link day is outside the outage ranges),
+    ``outage_links`` (the distinct link days inside them; at most the number
+    of outage days), ``prev_flag`` (last flag of the account's previous
+    snapshot day, null on its first day).
     """
-    link = F.col("link_date")
+    link, flag = F.col("link_date"), F.col("pref_flag")
     out = in_outage(link, params)
+    order = F.struct(link, flag)  # struct order compares fields with nulls first
     days = norm.groupBy("account_id", "partition_date").agg(
-        F.first("pref_flag").alias("pref_flag"),
+        F.min_by(flag, order).alias("pref_flag"),
+        F.max_by(flag, order).alias("last_flag"),
         first_link(link).alias("first_link"),
         F.count(F.lit(1)).alias("n_rows"),
+        F.count(F.when(flag, 1)).alias("n_true"),
         F.max(~out).alias("has_regular"),
         F.collect_set(F.when(out, link)).alias("outage_links"),
     )
@@ -90,7 +95,7 @@ def history_days(norm: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 def with_previous(days: DataFrame) -> DataFrame:
     w = Window.partitionBy("account_id").orderBy("partition_date")
-    return days.withColumn("prev_flag", F.lag("pref_flag").over(w))
+    return days.withColumn("prev_flag", F.lag("last_flag").over(w))
 
 
 def account_last_seen(history: DataFrame, devices: DataFrame, params: Params = DEFAULT) -> DataFrame:

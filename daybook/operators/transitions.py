@@ -133,9 +133,9 @@ def subscribers_net_daily(days: DataFrame, params: Params = DEFAULT) -> DataFram
     The global ``lag`` runs after aggregation, on one row per day.
     """
     stock = (
-        days.filter(F.col("pref_flag") == True)  # noqa: E712
+        days.filter(F.col("n_true") > 0)
         .groupBy(F.col("partition_date").alias("current_sub_date"))
-        .agg(F.coalesce(F.sum(F.when(F.col("account_id").isNotNull(), F.col("n_rows"))), F.lit(0)).alias("stock"))
+        .agg(F.coalesce(F.sum(F.when(F.col("account_id").isNotNull(), F.col("n_true"))), F.lit(0)).alias("stock"))
     )
     prev = F.lag("stock").over(Window.orderBy("current_sub_date"))
     return stock.select(
