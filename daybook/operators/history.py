@@ -67,6 +67,17 @@ def in_outage(link: Column, params: Params = DEFAULT) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def row_order(link: Column, flag: Column) -> Column:
+    """(link day, flag) ascending with nulls first, as one bigint.
+
+    A fixed-width key keeps ``min_by``/``max_by`` in a hash aggregate (a
+    struct key would force a sort-based one).
+    """
+    day = F.when(link.isNull(), F.lit(-(2**40))).otherwise(F.unix_date(link).cast("bigint"))
+    code = F.when(flag.isNull(), F.lit(0)).when(~flag, F.lit(1)).otherwise(F.lit(2))
+    return day * F.lit(3) + code
+
+
 def history_days(norm: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Collapse normalised rows to (account_id, partition_date).
 
@@ -80,7 +91,7 @@ def history_days(norm: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """
     link, flag = F.col("link_date"), F.col("pref_flag")
     out = in_outage(link, params)
-    order = F.struct(link, flag)  # struct order compares fields with nulls first
+    order = row_order(link, flag)
     days = norm.groupBy("account_id", "partition_date").agg(
         F.min_by(flag, order).alias("pref_flag"),
         F.max_by(flag, order).alias("last_flag"),
