@@ -44,8 +44,12 @@ class History:
         # current links: one row per (account, device) of the newest table
         links = history.explode_links(src.pref_current, src.devices, params, keep=("account_id", "pref_flag"))
         if persist:
-            days = days.persist(StorageLevel.MEMORY_AND_DISK)
-            links = links.persist(StorageLevel.MEMORY_AND_DISK)
+            # A cached plan keeps its shuffle partition count (AQE may not
+            # coalesce it), so every later scan would run that many tasks;
+            # narrow it to the cluster's cores first (no shuffle).
+            n = src.pref_history.sparkSession.sparkContext.defaultParallelism
+            days = days.coalesce(n).persist(StorageLevel.MEMORY_AND_DISK)
+            links = links.coalesce(n).persist(StorageLevel.MEMORY_AND_DISK)
         self.days, self.links = days, links
         self._persisted = persist
 
