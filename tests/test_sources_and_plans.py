@@ -74,3 +74,19 @@ def test_board_persists_only_day_grain(spark):
         assert h.days.storageLevel.useDisk
     finally:
         h.release()
+
+
+def test_event_log_first_day_prunes_partitions(spark):
+    from daybook.operators import engagement
+
+    fx = fixtures.Fixtures(spark, SF_SMALL, P)
+    path = tempfile.mkdtemp(prefix="daybook-log-") + "/sent"
+    snapshots.write_snapshots(fx.sent, path)
+    stored = snapshots.read_snapshots(spark, path)
+    got = engagement.sends_daily(stored, P)
+    first = int(P.first_log_day.strftime("%Y%m%d"))
+    assert f"(partition_day >= {first})" in [ln for ln in _plan(got).splitlines() if ln.startswith("PartitionFilters")][0]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, engagement.sends_daily(fx.sent, P).collect()))
+    topic = engagement.sends_by_topic(stored, P)
+    assert any(ln.startswith("PartitionFilters") and "partition_day >=" in ln for ln in _plan(topic).splitlines())
+    assert sorted(map(tuple, topic.collect())) == sorted(map(tuple, engagement.sends_by_topic(fx.sent, P).collect()))
