@@ -10,10 +10,12 @@ where a word is empty or touches other white space are encoded as they are.
 from __future__ import annotations
 
 import os
+from itertools import islice
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+#: Words a worker keeps (about 200 bytes each); beyond it the later half goes, as common words come early.
+CACHE_WORDS = 1_000_000
 DEFAULT_FILE = "byte_bpe_50k.json"
 
 
@@ -24,7 +26,7 @@ def tokenizer_path(name: str = DEFAULT_FILE) -> str:
 
 
 class WordEncoder:
-    """ids as little-endian unsigned 32-bit bytes; one per Python worker."""
+    """ids as little-endian unsigned bytes of type ``kind``, 16 bits where the vocabulary allows it; one per Python worker."""
 
     _made: dict[str, "WordEncoder"] = {}
 
@@ -34,6 +36,7 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
 
     @classmethod
@@ -43,12 +46,15 @@ class WordEncoder:
         return cls._made[path]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def end(self, token: int) -> bytes:
+        return np.array([token], dtype=self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The id bytes of each text, in order."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
+            self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2))
         cache, split = self.cache, []
         for t in texts:
             words = t.split(" ")
@@ -66,8 +72,6 @@ class WordEncoder:
         return [f if words is None else f + b"".join(map(get, words[1:])) for f, words in zip(first, split)]
 
 
-def encoded_batches(texts: list[str | None], path: str, at_a_time: int = 1000):
-    """(index of the first text, id bytes of each) for slices of a batch; a null text is empty."""
-    enc = WordEncoder.of(path)
-    for k in range(0, len(texts), at_a_time):
-        yield k, enc.encode([t or "" for t in texts[k : k + at_a_time]])
+def as_u4(ids: bytes, kind: np.dtype) -> bytes:
+    """The same ids as little-endian unsigned 32-bit integers."""
+    return ids if kind.itemsize == 4 else np.frombuffer(ids, kind).astype("<u4").tobytes()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.bpe import encoded_batches
+from daybook.llm.bpe import WordEncoder, as_u4
 
 SEQ_BITS = 33
 
@@ -144,12 +144,11 @@ def pack(
     kind = src.schema["id"].dataType.simpleString()
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
     schema = f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:]) + (", ids binary" if with_ids else "")
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << SEQ_BITS
+        number, enc = TaskContext.get().partitionId() << SEQ_BITS, WordEncoder.of(tokenizer)
+        end = enc.end(end_id)
         packer = Packer(max_tokens, max_segments, max_loss, window)
         done: list[tuple] = []
         id_type = None
@@ -172,10 +171,11 @@ def pack(
 
         for b in batches:
             id_type = b.schema.field(0).type
-            keys, starts = b.column(0).to_pylist(), b.column(2).to_pylist()
-            for k, encoded in encoded_batches(b.column(1).to_pylist(), tokenizer):
-                for i, ids in enumerate(encoded, k):
-                    take(packer.add(_Item(keys[i], ids + end, max(0, starts[i]))))
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                encoded = enc.encode([t or "" for t in part.column(1).to_pylist()])
+                for key, ids, start in zip(part.column(0).to_pylist(), encoded, part.column(2).to_pylist()):
+                    take(packer.add(_Item(key, as_u4(ids + end, enc.kind), max(0, start))))
                 if len(done) > 5000:
                     yield out()
                     done.clear()

@@ -3,12 +3,12 @@
 File format, one file per shard, integers little-endian:
 
     8 bytes   magic ``DBTOKEN1``
-    6 x u64   shard number, documents, distinct keys, ids, displacement buckets, seed
+    7 x u64   shard number, documents, distinct keys, ids, displacement buckets, seed, bytes of an id
     u32 each  displacement per bucket
     u64 each  key fingerprint per slot
     u32 each  first document per slot
     u64 each  offset in ids of each document, and the end
-    u32 each  the raw ids
+    u16/u32   the raw ids (16 bits where the vocabulary allows it)
     1 byte    a newline
 
 The index is a hash-and-displace minimal perfect hash over the shard's
@@ -39,11 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm.bpe import WordEncoder
+from daybook.llm.bpe import WordEncoder, as_u4
 from daybook.llm.common import ensure_checkpoint_dir
 
 MAGIC = b"DBTOKEN1"
-HEADER = len(MAGIC) + 6 * 8
+HEADER = len(MAGIC) + 7 * 8
 PER_BUCKET = 4
 #: The key of rows without one.
 NULL_KEY = -(2**63)
@@ -102,7 +102,7 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, int]:
     raise RuntimeError("no perfect hash found; are the keys distinct?")
 
 
-def encode_shard(number: int, keys: list[int], ids: list[bytes]) -> bytes:
+def encode_shard(number: int, keys: list[int], ids: list[bytes], width: int) -> bytes:
     """One shard file's bytes; keys ascend, equal keys stand together."""
     key = np.array(keys, dtype=np.int64).view(np.uint64)
     new = np.concatenate([[True], key[1:] != key[:-1]])
@@ -113,9 +113,9 @@ def encode_shard(number: int, keys: list[int], ids: list[bytes]) -> bytes:
     prints, firsts = np.zeros(len(distinct), dtype="<u8"), np.zeros(len(distinct), dtype="<u4")
     prints[slot] = distinct
     firsts[slot] = first
-    sizes = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
+    sizes = np.fromiter((len(x) // width for x in ids), dtype=np.int64, count=len(ids))
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
-    head = np.array([number, len(ids), len(distinct), offsets[-1], len(displacement), seed], dtype="<u8")
+    head = np.array([number, len(ids), len(distinct), offsets[-1], len(displacement), seed, width], dtype="<u8")
     return b"".join(
         [MAGIC, head.tobytes(), displacement.astype("<u4").tobytes(), prints.tobytes(), firsts.tobytes(), offsets.tobytes(), *ids]
     )
@@ -127,11 +127,11 @@ class Shard:
     def __init__(self, data: bytes) -> None:
         if data[: len(MAGIC)] != MAGIC:
             raise ValueError("not a token shard")
-        head = np.frombuffer(data, "<u8", 6, len(MAGIC))
-        self.number, self.docs, self.n, self.n_ids, self.buckets, self.seed = (int(x) for x in head)
+        head = np.frombuffer(data, "<u8", 7, len(MAGIC))
+        self.number, self.docs, self.n, self.n_ids, self.buckets, self.seed, width = (int(x) for x in head)
         at = HEADER
         parts = []
-        for kind, n in (("<u4", self.buckets), ("<u8", self.n), ("<u4", self.n), ("<u8", self.docs + 1), ("<u4", self.n_ids)):
+        for kind, n in (("<u4", self.buckets), ("<u8", self.n), ("<u4", self.n), ("<u8", self.docs + 1), (f"<u{width}", self.n_ids)):
             parts.append(np.frombuffer(data, kind, n, at))
             at += parts[-1].nbytes
         if len(data) != at + 1:
@@ -158,7 +158,6 @@ def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2
 ) -> None:
     """Write one shard file per range of keys below ``path``."""
-    end = np.array([end_id], dtype="<u4").tobytes()
     src = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("key"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"),
@@ -168,13 +167,14 @@ def write_token_files(
         from pyspark import TaskContext
 
         enc, keys, ids = WordEncoder.of(tokenizer), [], []
+        end = enc.end(end_id)
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
                 keys += part.column(0).to_pylist()
                 ids += [x + end for x in enc.encode(part.column(1).to_pylist())]
         if keys:
-            data = encode_shard(TaskContext.get().partitionId(), keys, ids)
+            data = encode_shard(TaskContext.get().partitionId(), keys, ids, enc.kind.itemsize)
             yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["value"])
 
     # equal keys with equal texts may be cut apart by a range; the hash spreads a hot key over shards
@@ -188,9 +188,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in b.column(0):
-                s = Shard(c.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([s.number]), pa.array([s.n_ids])], names=["shard", "n_ids"])
+            heads = [np.frombuffer(c.as_py(), "<i8", 7, len(MAGIC)) for c in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(h[k]) for h in heads]) for k in (0, 3)], names=["shard", "n_ids"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,15 +203,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 each = np.repeat(keys, count)
                 nth = np.arange(s.docs) - np.repeat(first, count)
                 at = s.offsets.astype(np.int64)
-                raw = memoryview(s.ids).cast("B")
-                crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
+                crc = [zlib.crc32(as_u4(s.ids[a:z].tobytes(), s.ids.dtype)) for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
                 cols = [np.full(s.docs, s.number), each, at[:-1], np.diff(at), np.array(crc, dtype=np.int64), nth]
                 names = ["shard", "key", "local", "n_tokens", "ids_crc32", "nth"]
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], names=names)
 
     from pyspark.sql import Window
 
-    totals = files.mapInArrow(sizes, "shard long, n_ids long")
+    totals = files.select(F.substring("content", 1, HEADER).alias("head")).mapInArrow(sizes, "shard long, n_ids long")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard file
     begins = totals.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("begin"))
     docs = files.mapInArrow(rows, "shard long, key long, local long, n_tokens long, ids_crc32 long, nth long")
