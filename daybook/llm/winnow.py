@@ -144,7 +144,7 @@ def contamination(
         .agg(F.count("*").alias("n_hit"))
     )
     named = hits.select("tid", "item").distinct().groupBy("tid").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    found_in = n_hit.join(named, "tid", "left")
+    found_in = broadcast_if_small(cut(n_hit.join(named, "tid", "left")), broadcast_rows // 10)
     sizes = src.select("id", "tid", F.size(words(F.col("t"))).cast("long").alias("n_words"))
     return sizes.join(found_in, "tid", "left").select(
         F.col("id").alias(id_col),
