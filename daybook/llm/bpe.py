@@ -10,12 +10,12 @@ where a word is empty or touches other white space are encoded as they are.
 from __future__ import annotations
 
 import os
-from itertools import islice
+from itertools import filterfalse, islice
 
 import numpy as np
 
 #: Words a worker keeps (about 200 bytes each); beyond it the later half goes, as common words come early.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 DEFAULT_FILE = "byte_bpe_50k.json"
 
 
@@ -55,21 +55,26 @@ class WordEncoder:
         """The id bytes of each text, in order."""
         if len(self.cache) > CACHE_WORDS:
             self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2))
-        cache, split = self.cache, []
-        for t in texts:
-            words = t.split(" ")
-            split.append(words if all(words) and not any(w[0].isspace() or w[-1].isspace() for w in words) else None)
-        new: dict[str, None] = {}
+        cache = self.cache
+        split = [t.split(" ") if _apart(t) else None for t in texts]
+        new: set[str] = set()
         for words in split:
             if words is not None:
-                for w in words[1:]:
-                    if w not in cache:
-                        new[w] = None
+                new.update(filterfalse(cache.__contains__, islice(words, 1, None)))
         if new:
-            cache.update(zip(new, self.whole([" " + w for w in new])))
+            listed = sorted(new)
+            cache.update(zip(listed, self.whole([" " + w for w in listed])))
         first = self.whole([words[0] if words is not None else t for words, t in zip(split, texts)])
         get = cache.__getitem__
-        return [f if words is None else f + b"".join(map(get, words[1:])) for f, words in zip(first, split)]
+        return [f if words is None else f + b"".join(map(get, islice(words, 1, None))) for f, words in zip(first, split)]
+
+
+def _apart(t: str) -> bool:
+    """Whether every space of the text stands between two characters that are not white space."""
+    if "  " in t or " \n" in t or "\n " in t or t[:1].isspace() or t[-1:].isspace():
+        return False
+    # white space other than a space or a line break is not printable
+    return t.replace("\n", "").isprintable() or not any(w[:1].isspace() or w[-1:].isspace() for w in t.split(" "))
 
 
 def as_u4(ids: bytes, kind: np.dtype) -> bytes:
