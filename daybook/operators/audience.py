@@ -30,7 +30,7 @@ def audience_select(pref_current: DataFrame, contacts: DataFrame, devices: DataF
             F.col("lnk.device_id").alias("device_id"),
             "language",
             "country",
-            F.col("segment").isin(list(params.control_segments)).alias("control"),
+            F.when(F.col("segment").isin(list(params.control_segments)), True).otherwise(False).alias("control"),
         )
     )
     b = contacts.filter(F.col("email").isNotNull()).select("account_id", "email")

@@ -1,17 +1,18 @@
 """Snapshot history: calendar, normalised link rows and the per-day flag sequence.
 
-``history_normalise`` is the reference's 4-column de-duplicated unnest of the
-snapshot family.  ``history_days`` collapses it to one row per
-(account, snapshot day) and attaches the previous day's flag.  Because a
-snapshot holds one preference row per account, every row of a day after the
-first (in link-day order) has the day's own flag as its predecessor; so the
-row-level ``lag`` ordered by (day, link day, flag) is fully described by the
-day grain.  The window then spans at most one row per snapshot day of an
-account, however many devices a hot account links: it cannot blow up a task.
+``history_normalise`` is the 4-column de-duplicated unnest of the snapshot
+family.  ``history_days`` collapses it: a day on which an account has one flag
+becomes one row, since every row of the day after its first (in link-day order) has the
+day's own flag as predecessor; a day with several flags keeps its rows.  The
+row-level ``lag`` ordered by (day, link day, flag) is fully described by that, and
+the window spans one row per ordinary snapshot day of an account, however many
+devices a hot account links.
 """
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +26,15 @@ def explode_links(prefs: DataFrame, devices: DataFrame, params: Params = DEFAULT
     Output columns: ``keep`` from ``prefs`` plus ``device_id``, ``linked_ms`` and
     the device columns.  An empty ``device_data`` drops the row (inner unnest).
     """
-    cols = [c for c in prefs.columns if c != "device_data"] if keep == ("*",) else list(keep)
-    x = prefs.select(*cols, F.explode("device_data").alias("lnk")).select(
-        *cols,
+    own = [c for c in prefs.columns if c != "device_data"]
+    x = prefs.select(*own, F.explode("device_data").alias("lnk")).select(
+        *own,
         F.col("lnk.device_id").alias("device_id"),
         F.col("lnk.time_linked_with_user_ms").alias("linked_ms"),
     )
-    return x.join(devices, "device_id").filter(params.base_predicate())
+    # the base filter may name any account, link or device column, so columns go after it ran
+    rows = x.join(devices, "device_id").filter(params.base_predicate())
+    return rows if keep == ("*",) else rows.drop(*[c for c in own if c not in keep])
 
 
 def calendar_from_links(pref_current: DataFrame, devices: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -68,45 +71,86 @@ def in_outage(link: Column, params: Params = DEFAULT) -> Column:
 
 
 def row_order(link: Column, flag: Column) -> Column:
-    """(link day, flag) ascending with nulls first, as one bigint.
-
-    A fixed-width key keeps ``min_by``/``max_by`` in a hash aggregate (a
-    struct key would force a sort-based one).
-    """
+    """(link day, flag) ascending with nulls first, as one bigint."""
     day = F.when(link.isNull(), F.lit(-(2**40))).otherwise(F.unix_date(link).cast("bigint"))
     code = F.when(flag.isNull(), F.lit(0)).when(~flag, F.lit(1)).otherwise(F.lit(2))
     return day * F.lit(3) + code
 
 
+def outage_days(params: Params = DEFAULT) -> list[date]:
+    """The days of the outage ranges, in order: as many bits of the ``outage_*`` masks."""
+    days = {lo + timedelta(days=i) for lo, hi in params.outages for i in range((hi - lo).days + 1)}
+    return sorted(days)
+
+
+def _outage_masks(link: Column, params: Params) -> list[Column]:
+    """One bigint per 60 outage days, with the bit of the link day's place set."""
+    days = outage_days(params)
+    out = []
+    for k in range(0, len(days), 60):
+        mask = F.lit(0).cast("bigint")
+        for i, d in enumerate(days[k : k + 60]):
+            mask = F.when(link == F.lit(d), F.lit(1 << i).cast("bigint")).otherwise(mask)
+        out.append(mask.alias(f"outage_{k // 60}"))
+    return out
+
+
+def outage_links(params: Params = DEFAULT) -> Column:
+    """The outage days whose bits are set, as an array of dates."""
+    days = outage_days(params)
+    each = [
+        F.when(F.col(f"outage_{i // 60}").bitwiseAND(F.lit(1 << i % 60)) != 0, F.lit(d)) for i, d in enumerate(days)
+    ]
+    return F.array_compact(F.array(*each)) if each else F.array().cast("array<date>")
+
+
 def history_days(norm: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Collapse normalised rows to (account_id, partition_date).
-
-    Columns: ``pref_flag`` and ``first_link`` (flag and link day of the day's
-    first row in (link day, flag) order, nulls first), ``last_flag`` (flag of
-    its last row), ``n_rows`` and ``n_true`` (rows, and rows opted in),
-    ``has_regular`` (some row's link day is outside the outage ranges),
-    ``outage_links`` (the distinct link days inside them; at most the number
-    of outage days), ``prev_flag`` (last flag of the account's previous
-    snapshot day, null on its first day).
+    """Normalised rows, with each one-flag (account_id, partition_date) collapsed to one row.
+
+    Columns: ``pref_flag``, ``first_link`` (link day of the day's first row in
+    (link day, flag) order, nulls first), ``n_rows`` and ``n_true`` (rows, and
+    rows opted in), ``has_regular`` (some row's link day is outside the outage
+    ranges), ``outage_*`` (bit masks of the link days inside them),
+    ``row_key`` (order within the day) and ``prev_flag`` (flag of the account's
+    previous row, null on its first).  On a day with several flags every
+    row stays, so changes inside the day are seen.
     """
     link, flag = F.col("link_date"), F.col("pref_flag")
     out = in_outage(link, params)
-    order = row_order(link, flag)
-    days = norm.groupBy("account_id", "partition_date").agg(
-        F.min_by(flag, order).alias("pref_flag"),
-        F.max_by(flag, order).alias("last_flag"),
+    masks = [f"outage_{k}" for k in range(-(-len(outage_days(params)) // 60))]
+    marked = norm.select("*", out.alias("out"), *_outage_masks(link, params))
+    days = marked.groupBy("account_id", "partition_date").agg(
+        F.max(flag).alias("pref_flag"),
+        F.min(flag).alias("low"),
+        F.count(flag).alias("n_flags"),
         first_link(link).alias("first_link"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count(F.when(flag, 1)).alias("n_true"),
-        F.max(~out).alias("has_regular"),
-        F.collect_set(F.when(out, link)).alias("outage_links"),
+        F.max(~F.col("out")).alias("has_regular"),
+        *[F.bit_or(m).alias(m) for m in masks],
+    )
+    one_flag = (F.col("n_flags") == 0) | ((F.col("n_flags") == F.col("n_rows")) & (F.col("low") == flag))
+    single = days.filter(one_flag).withColumn("row_key", F.lit(0).cast("bigint")).drop("low", "n_flags")
+    mixed = days.filter(~one_flag).select(F.col("account_id").alias("a"), F.col("partition_date").alias("d"))
+    rows = marked.join(
+        mixed, F.col("account_id").eqNullSafe(F.col("a")) & F.col("partition_date").eqNullSafe(F.col("d")), "left_semi"
+    ).select(
+        "account_id",
+        "partition_date",
+        "pref_flag",
+        link.alias("first_link"),
+        F.lit(1).cast("bigint").alias("n_rows"),
+        F.when(flag, 1).otherwise(0).cast("bigint").alias("n_true"),
+        (~F.col("out")).alias("has_regular"),
+        *masks,
+        row_order(link, flag).alias("row_key"),
     )
-    return with_previous(days)
+    return with_previous(single.unionByName(rows))
 
 
 def with_previous(days: DataFrame) -> DataFrame:
-    w = Window.partitionBy("account_id").orderBy("partition_date")
-    return days.withColumn("prev_flag", F.lag("last_flag").over(w))
+    w = Window.partitionBy("account_id").orderBy("partition_date", "row_key")
+    return days.withColumn("prev_flag", F.lag("pref_flag").over(w))
 
 
 def account_last_seen(history: DataFrame, devices: DataFrame, params: Params = DEFAULT) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.functions.timeutil import date_id, period_quarter, period_year
+from daybook.functions.timeutil import period_quarter
 from daybook.params import DEFAULT, TIER_LABELS, Params
 
 
@@ -64,20 +64,19 @@ def revenue_91d(facts: DataFrame, acquisitions: DataFrame, geo: DataFrame, param
     past the cutoff), the ``adjusted`` flag and the spend tier of the raw sum.
     """
     epoch: date = params.date_epoch
-    year_start = date_id(F.lit(date(params.activation_year, 1, 1)), epoch)
+    # an id range, so that the filter reaches a scan of acquisitions
+    year_start, year_end = (F.lit((date(params.activation_year, *d) - epoch).days) for d in ((1, 1), (12, 31)))
     acq = acquisitions.filter(
         (F.col("billing_category") == params.billing_category)
         & (F.col("service_country") != params.excluded_service_country)
         & (F.col("is_fraud") == False)  # noqa: E712
-        & (period_year(F.col("activation_date_id"), epoch) == params.activation_year)
+        & F.col("activation_date_id").between(year_start, year_end)
     )
-    # Facts before the selected year's first activation day cannot join an
-    # interval: this range predicate reaches the fact scan.
+    # Facts before the selected year's first activation day cannot join an interval.
     f = facts.select("account_id", "date_id", "amount").filter(F.col("date_id") >= year_start)
     j = interval_join(daily_amounts(f), acq, params)
     g = geo.select("country_code", "region")
-    # The country mapping has one row per country code: a bounded dimension.
-    j = j.join(F.broadcast(g), F.col("a.country_code") == g.country_code, "left")
+    j = j.join(g, F.col("a.country_code") == g.country_code, "left")
     a_day = F.col("a.activation_date_id")
     in_window = F.when(F.col("f.date_id") < a_day + params.window_days, F.col("f.amount")).otherwise(F.lit(0))
     agg = j.groupBy(

@@ -1,9 +1,8 @@
 """Preference transitions over the day-grain history (see ``history_days``).
 
-Only the first row of an (account, day) can carry a transition: every later
-row of the day has the day's own flag as predecessor.  So each flag below is
-evaluated once per (account, day) with ``first_link`` standing for that first
-row's link day.
+Each flag below is evaluated once per row of the day grain, with
+``first_link`` as that row's link day: on a one-flag day only the first row can carry a
+transition, and a day with several flags keeps its rows.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daybook.operators.history import outage_links
 from daybook.params import DEFAULT, Params
 
 
@@ -67,7 +67,7 @@ def setup_flags(prev: Column, cur: Column, link: Column, day: Column, params: Pa
     return _flag(s & (cur == True)), _flag(s & (cur == False))  # noqa: E712
 
 
-# -- strict opt-outs (partitionAndLag) ------------------------------------------
+# -- strict opt-outs ------------------------------------------
 
 
 def optout_strict(days: DataFrame) -> DataFrame:
@@ -116,17 +116,48 @@ def optout_attributed_daily(days: DataFrame, latest: DataFrame, opted_out: DataF
 
 
 def optout_campaign_daily(
-    days: DataFrame, latest: DataFrame, opted_out: DataFrame, sent: DataFrame, params: Params = DEFAULT
+    days: DataFrame,
+    latest: DataFrame,
+    opted_out: DataFrame,
+    sent: DataFrame,
+    params: Params = DEFAULT,
+    messages: DataFrame | None = None,
 ) -> DataFrame:
+    """``messages`` names accounts by campaign (account_id, campaign_id); by default the opt-out events do."""
     rows = (
         optout_strict(days)
         .join(opted_out_latest(latest), "account_id", "left_semi")
         .join(attributed_accounts(opted_out, sent), "account_id", "left_semi")
-        .join(campaign_accounts(opted_out, params.attributed_campaigns), "account_id", "left_semi")
+        .join(campaign_accounts(opted_out if messages is None else messages, params.attributed_campaigns), "account_id", "left_semi")
     )
     return _count_daily(rows, "onboarding_opt_out")
 
 
+def optout_counts_daily(
+    days: DataFrame,
+    latest: DataFrame,
+    opted_out: DataFrame,
+    sent: DataFrame,
+    params: Params = DEFAULT,
+    messages: DataFrame | None = None,
+) -> DataFrame:
+    """The three counts above per day in one pass; a count of no rows is null."""
+    rows = optout_strict(days).join(opted_out_latest(latest), "account_id", "left_semi")
+    told = attributed_accounts(opted_out, sent).withColumn("told", F.lit(True))
+    group = campaign_accounts(opted_out if messages is None else messages, params.attributed_campaigns)
+    rows = rows.join(told, "account_id", "left").join(group.withColumn("grouped", F.lit(True)), "account_id", "left")
+
+    def count(cond: Column) -> Column:
+        n = F.count(F.when(cond, 1))
+        return F.when(n > 0, n)
+
+    return rows.groupBy("partition_date").agg(
+        F.count(F.lit(1)).alias("total_opt_out"),
+        count(F.col("told")).alias("email_opt_out"),
+        count(F.col("told") & F.col("grouped")).alias("onboarding_opt_out"),
+    )
+
+
 def subscribers_net_daily(days: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Opted-in rows per day and the change from the previous listed day.
 
@@ -134,13 +165,13 @@ def subscribers_net_daily(days: DataFrame, params: Params = DEFAULT) -> DataFram
     """
     stock = (
         days.filter(F.col("n_true") > 0)
-        .groupBy(F.col("partition_date").alias("current_sub_date"))
+        .groupBy(F.col("partition_date").alias("stock_day"))
         .agg(F.coalesce(F.sum(F.when(F.col("account_id").isNotNull(), F.col("n_true"))), F.lit(0)).alias("stock"))
     )
-    prev = F.lag("stock").over(Window.orderBy("current_sub_date"))
+    prev = F.lag("stock").over(Window.orderBy("stock_day"))
     return stock.select(
-        "current_sub_date",
-        F.when(F.col("current_sub_date") == F.lit(params.seed_day), F.col("stock"))
+        "stock_day",
+        F.when(F.col("stock_day") == F.lit(params.seed_day), F.col("stock"))
         .otherwise(F.col("stock") - prev)
         .alias("subscribers"),
     )
@@ -164,13 +195,13 @@ def pref_changes(days: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
-def booked_days(days: DataFrame) -> DataFrame:
+def booked_days(days: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Every day some normalised row is booked on: its link day when inside an
     outage range, else the day before its snapshot."""
     regular = F.when(F.col("has_regular"), F.array(F.date_add("partition_date", -1))).otherwise(
         F.array().cast("array<date>")
     )
-    return days.select(F.explode(F.array_union(regular, F.col("outage_links"))).alias("booked_date")).distinct()
+    return days.select(F.explode(F.array_union(regular, outage_links(params))).alias("booked_date")).distinct()
 
 
 def pref_ledger_daily(days: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -189,7 +220,7 @@ def pref_ledger_daily(days: DataFrame, params: Params = DEFAULT) -> DataFrame:
             F.sum("setup_optout").alias("setup_optout"),
         )
     )
-    booked = booked_days(days)
+    booked = booked_days(days, params)
     z = F.lit(0).cast("bigint")
     out = booked.join(sums, "booked_date", "left").select(
         F.col("booked_date").alias("preference_change_date"),
@@ -224,7 +255,8 @@ def delink_daily(calendar: DataFrame, days: DataFrame, params: Params = DEFAULT)
     """
     kept = kept_days(calendar, params).select("cal_date")
     succ = kept.select("cal_date", F.lead("cal_date").over(Window.orderBy("cal_date")).alias("next_date"))
-    presence = days.select("account_id", "partition_date")
+    # a null account is never the same account on another day
+    presence = days.filter(F.col("account_id").isNotNull()).select("account_id", "partition_date")
     marks = presence.join(F.broadcast(succ), presence.partition_date == succ.cal_date, "left").select(
         "account_id",
         F.explode(

@@ -51,7 +51,8 @@ class Params:
         (date(2024, 1, 4), date(2024, 1, 10), date(2024, 1, 10)),
         (date(2024, 1, 11), date(2024, 1, 12), date(2024, 1, 14)),
     )
-    null_date: date | None = None  # fill for a missing first link day
+    # promise that a log's partition day is the UTC day of its events: lets topic blocks prune partitions
+    partition_day_is_utc_day: bool = False
 
     # -- campaigns -----------------------------------------------------------
     campaigns_all: tuple[int, ...] = tuple(range(10))
@@ -72,6 +73,10 @@ class Params:
     device_products: tuple[str, ...] = ("brand#7", "brand#10", "brand#11", "brand#17", "brand#24")
     control_segments: tuple[str, ...] = ("BUILDING", "MACHINERY")
 
+    def __post_init__(self) -> None:
+        if len(self.topic_campaigns) != len(TOPICS):
+            raise ValueError(f"topic_campaigns needs one campaign for each of {TOPICS}")
+
     def base_predicate(self) -> Column:
         """Predicate over (account, device link, device) rows."""
         if self.base_filter is not None:
@@ -79,7 +84,7 @@ class Params:
         return F.col("size") > F.lit(self.base_min_size)
 
     def topic_pairs(self) -> list[tuple[str, int]]:
-        return list(zip(TOPICS, self.topic_campaigns))
+        return list(zip(TOPICS, self.topic_campaigns, strict=True))
 
 
 DEFAULT = Params()

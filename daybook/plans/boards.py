@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +11,18 @@ from daybook.functions.timeutil import day_epoch_ms, month_name
 from daybook.operators import cohort, engagement, history, transitions
 from daybook.operators.spine import spine_join
 from daybook.params import DEFAULT, Params
+from daybook.session import checkpointed
 
 
 @dataclass
 class Inputs:
-    """The tables the boards read (any object with these attributes works)."""
+    """The tables the boards read (any object with these attributes works).
+
+    The ``flat_*`` tables are clean event tables without partitions, read by
+    the opt-out attribution and the topic blocks; where one is not given, the
+    partitioned log of that event stands in.  ``messages`` names accounts by campaign (account_id, campaign_id)
+    for the campaign opt-outs; without it the opt-out events do.
+    """
 
     pref_current: DataFrame
     pref_history: DataFrame
@@ -27,52 +33,69 @@ class Inputs:
     clicked: DataFrame
     opted_out: DataFrame
     first_mail: DataFrame
+    flat_sent: DataFrame | None = None
+    flat_opened: DataFrame | None = None
+    flat_clicked: DataFrame | None = None
+    flat_opted_out: DataFrame | None = None
+    messages: DataFrame | None = None
+
+
+def _flat(src, name: str) -> DataFrame | None:
+    return getattr(src, f"flat_{name}", None)
+
+
+def _flat_or_log(src, name: str) -> DataFrame:
+    flat = _flat(src, name)
+    return getattr(src, name) if flat is None else flat
 
 
 class History:
-    """The day grain of the snapshot history, built once per board.
+    """The day grain of the snapshot history and the current links, built once per board.
 
-    Several blocks read it; ``persist`` keeps it (memory, spilling to disk)
-    so the history is scanned and unnested once.  Lost blocks are recomputed
-    from lineage, so executor loss costs time, not results.  Its size is one
-    row per (account, snapshot day), independent of devices per account.
+    Several blocks read them, so both are checkpointed to the shared folder: the history is
+    scanned and unnested once, a lost executor loses nothing, and no cache
+    outlives the board (a later board reads its inputs again).  The size is one
+    row per (account, snapshot day) and per (account, device).
     """
 
-    def __init__(self, src, params: Params = DEFAULT, persist: bool = True):
-        norm = history.history_normalise(src.pref_history, src.devices, params)
-        days = history.history_days(norm, params)
-        # current links: one row per (account, device) of the newest table
+    def __init__(self, src, params: Params = DEFAULT, keep: bool = True):
+        days = history.history_days(history.history_normalise(src.pref_history, src.devices, params), params)
         links = history.explode_links(src.pref_current, src.devices, params, keep=("account_id", "pref_flag"))
-        if persist:
-            # A cached plan keeps its shuffle partition count (AQE may not
-            # coalesce it), so every later scan would run that many tasks;
-            # narrow it to the cluster's cores first (no shuffle).
-            n = src.pref_history.sparkSession.sparkContext.defaultParallelism
-            days = days.coalesce(n).persist(StorageLevel.MEMORY_AND_DISK)
-            links = links.coalesce(n).persist(StorageLevel.MEMORY_AND_DISK)
-        self.days, self.links = days, links
-        self._persisted = persist
-
-    def release(self) -> None:
-        if self._persisted:
-            self.days.unpersist()
-            self.links.unpersist()
+        links = links.select("account_id", "pref_flag", "device_id", "linked_ms")
+        self.days, self.links = (checkpointed(days), checkpointed(links)) if keep else (days, links)
 
 
 def optout_board(src, params: Params = DEFAULT, calendar: DataFrame | None = None, hist: History | None = None) -> DataFrame:
     """Calendar with strict opt-outs (all / attributed / campaign) and net subscribers."""
     h = hist or History(src, params)
     cal = calendar if calendar is not None else history.calendar_of(h.links, params)
-    d, latest = h.days, src.pref_latest
-    return spine_join(
-        cal,
-        [
-            (transitions.optout_total_daily(d, latest), "partition_date"),
-            (transitions.optout_attributed_daily(d, latest, src.opted_out, src.sent), "partition_date"),
-            (transitions.optout_campaign_daily(d, latest, src.opted_out, src.sent, params), "partition_date"),
-            (transitions.subscribers_net_daily(d, params), "current_sub_date"),
-        ],
+    counts = transitions.optout_counts_daily(
+        h.days, src.pref_latest, _flat_or_log(src, "opted_out"), _flat_or_log(src, "sent"), params, getattr(src, "messages", None)
     )
+    return spine_join(cal, [(counts, "partition_date"), (transitions.subscribers_net_daily(h.days, params), "stock_day")])
+
+
+#: event -> (day, first events only, total column, type suffix, topic suffix, total block, type block, topic block)
+EVENTS = {
+    "sent": ("send_day", False, "emails_sent", "send", "send", engagement.sends_daily, engagement.sends_by_type, engagement.sends_by_topic),
+    "opened": ("open_day", True, "emails_opened", "open", "open", engagement.opens_first_daily, engagement.opens_by_type, engagement.opens_by_topic),
+    "clicked": ("click_day", True, None, "click", "click", None, engagement.clicks_by_type, engagement.clicks_by_topic),
+    "opted_out": ("optout_day", False, None, "optout", "opt_out", None, engagement.optouts_by_type, engagement.optouts_by_topic),
+}
+
+
+def event_blocks(src, params: Params) -> list[tuple[DataFrame, str]]:
+    """Per log one block from one scan, or its separate blocks where a flat table serves the topics."""
+    out = []
+    for name, (day, first, total, type_suffix, topic_suffix, in_all, by_type, by_topic) in EVENTS.items():
+        log, flat = getattr(src, name), _flat(src, name)
+        if flat is None:
+            out.append((engagement.log_block(log, params, day, first, total, type_suffix, topic_suffix), day))
+            continue
+        if in_all is not None:
+            out.append((in_all(log, params), day))
+        out += [(by_type(log, params), day), (by_topic(flat, params), day)]
+    return out
 
 
 def lifecycle_blocks(src, params: Params, h: History) -> list[tuple[DataFrame, str]]:
@@ -81,18 +104,9 @@ def lifecycle_blocks(src, params: Params, h: History) -> list[tuple[DataFrame, s
     after = cohort.cohort_vs_optout(h.days, src.pref_latest, src.first_mail, params)
     return [
         (engagement.activations_daily(links, params), "activation_date"),
-        (transitions.subscribers_net_daily(h.days, params), "current_sub_date"),
+        (transitions.subscribers_net_daily(h.days, params), "stock_day"),
         (engagement.linked_accounts_daily(links, params), "link_date"),
-        (engagement.sends_daily(src.sent, params), "email_send_date"),
-        (engagement.opens_first_daily(src.opened, params), "total_email_open_date"),
-        (engagement.sends_by_type(src.sent, params), "email_send_date_new"),
-        (engagement.opens_by_type(src.opened, params), "email_open_date"),
-        (engagement.clicks_by_type(src.clicked, params), "email_click_date"),
-        (engagement.optouts_by_type(src.opted_out, params), "opt_out_date"),
-        (engagement.sends_by_topic(src.sent, params), "email_newsletter_send"),
-        (engagement.clicks_by_topic(src.clicked, params), "email_newsletter_click"),
-        (engagement.opens_by_topic(src.opened, params), "email_newsletter_open"),
-        (engagement.optouts_by_topic(src.opted_out, params), "email_newsletter_opt_out"),
+        *event_blocks(src, params),
         (transitions.pref_ledger_daily(h.days, params), "preference_change_date"),
         (transitions.delink_daily(cal, h.days, params), "delink_date"),
         (after, "partition_date2"),
@@ -104,6 +118,6 @@ def lifecycle_board(src, params: Params = DEFAULT, hist: History | None = None)
     h = hist or History(src, params)
     cal = history.calendar_of(h.links, params).filter(F.col("cal_date") < F.lit(params.as_of))
     board = spine_join(cal, lifecycle_blocks(src, params, h))
-    return board.withColumn("cal_date_ux", day_epoch_ms(F.col("cal_date"), 8)).withColumn(
+    return board.withColumn("cal_epoch_ms", day_epoch_ms(F.col("cal_date"), 8)).withColumn(
         "month", month_name(F.col("cal_date"))
     )

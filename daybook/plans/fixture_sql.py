@@ -56,8 +56,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         JOIN nation n ON c.c_nationkey = n.n_nationkey"""),
     "geo": ((), """
         SELECT n.n_nationkey AS country_code, r.r_name AS region
-        FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
-        WHERE n.n_nationkey < 20"""),
+        FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey"""),
     "ev": ((), """
         SELECT user_id, event_id, event_type, epoch_us(ts) AS us, CAST(ts AS DATE) AS utc_day,
                CAST(year(ts) * 10000 + month(ts) * 100 + day(ts) AS BIGINT) AS partition_day,
@@ -93,10 +92,10 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT c_custkey AS account_id,
                CASE WHEN c_acctbal < 0 THEN NULL ELSE c_name || '@example.com' END AS email,
                CAST(c_nationkey AS BIGINT) AS contact_key
-        FROM customer WHERE c_custkey < 150"""),
+        FROM customer"""),
     "devices": ((), """
         SELECT p_partkey AS device_id, p_type AS model_name, p_brand AS product_name, p_size AS size
-        FROM part WHERE p_partkey < 100"""),
+        FROM part"""),
     "sent": (("ev",), """
         SELECT user_id * 10 + k % 10 AS message_id, k % 10 AS campaign_id, user_id AS account_id,
                us AS t_us, partition_day FROM ev WHERE event_type = 'signup'"""),
