@@ -18,7 +18,7 @@ from daybook.llm import (
     toxicity_chain,
     winnow,
 )
-from daybook.llm.common import table
+from daybook.llm.common import ship_package, table
 
 
 def op1_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +84,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _shipped(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    run.__name__ = query.__name__
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: _shipped(f)
     for f in (
         op1_embedding_graph,
         op2_lm_automaton,
