@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daybook.llm import bpe, packing, quality_cnn, simhash_ring, toxicity_chain, winnow
-from daybook.llm.common import ensure_checkpoint_dir, table
+from daybook.llm.common import ensure_checkpoint_dir, ship_package, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,6 +35,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the classifier chain rejects."""
+    ship_package(spark)
     keyed = _keyed(_documents(docs))
     scored = toxicity_chain.score_toxicity(
         keyed.drop("doc_id").withColumnRenamed("_key", "doc_id"), docs, table(spark, sf_dir, "labels")
@@ -45,6 +46,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose quality score is below a half."""
+    ship_package(spark)
     keyed = _keyed(_documents(docs))
     rows, prior = quality_cnn.labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", "doc_id", "text", 2500, 16384)
     scored = quality_cnn.score_rows(keyed, quality_cnn.fit(rows, prior), "_key", "text")
@@ -54,6 +56,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group."""
+    ship_package(spark)
     groups = simhash_ring.near_duplicates(docs, shingle=4, max_bits=4)
     keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = _documents(docs).join(keep.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -63,6 +66,7 @@ def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
+    ship_package(spark)
     keyed = _keyed(_documents(docs))
     marked = winnow.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
     out = marked.where("contaminated").select("_key").distinct()
@@ -71,6 +75,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of all documents that are left."""
+    ship_package(spark)
     return packing.pack(docs, bpe.tokenizer_path())
 
 
