@@ -15,7 +15,8 @@ from itertools import filterfalse, islice
 import numpy as np
 
 #: Words a worker keeps (about 200 bytes each); beyond it the later half goes, as common words come early.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 700_000
+WHOLE_AT_A_TIME = 4000
 DEFAULT_FILE = "byte_bpe_50k.json"
 
 
@@ -46,7 +47,12 @@ class WordEncoder:
         return cls._made[path]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        # a few thousand at a time: the library's result objects are far larger than the ids
+        return [
+            np.array(e.ids, dtype=self.kind).tobytes()
+            for k in range(0, len(texts), WHOLE_AT_A_TIME)
+            for e in self.tok.encode_batch_fast(texts[k : k + WHOLE_AT_A_TIME], add_special_tokens=False)
+        ]
 
     def end(self, token: int) -> bytes:
         return np.array([token], dtype=self.kind).tobytes()
