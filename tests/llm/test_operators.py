@@ -85,7 +85,7 @@ def test_range_search_reaches_all_in_range():
 
 @pytest.mark.parametrize("share", [2e-6, 1e-3])
 def test_language_model_base_scores(spark, docs, share):
-    out = lm_automaton.score_documents(docs, arc_share=share)
+    out = lm_automaton.score_documents(docs, arc_floor=share)
     got = rows_of(out, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
     want = sorted(brute.base_scores(TEXTS), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
@@ -95,7 +95,7 @@ def test_language_model_base_scores(spark, docs, share):
 
 def test_language_model_is_a_distribution_and_beats_the_base(spark):
     df = documents(spark)
-    auto, counts, n, v = lm_automaton.train(df.where(F.crc32(F.col("doc_id").cast("string")) % 7 != 2), arc_share=1e-4)
+    auto, counts, n, v = lm_automaton.train(df.where(F.crc32(F.col("doc_id").cast("string")) % 7 != 2), arc_floor=1e-3)
     unseen = 1 - sum(10.0 ** auto.base)
     for context, s in list(auto.states.items())[1:400]:
         total = sum(auto.prob(context, w) for w in range(len(auto.words)))
@@ -103,7 +103,7 @@ def test_language_model_is_a_distribution_and_beats_the_base(spark):
         while t:
             fall, t = fall + auto.fail_weight[t], auto.fail[t]
         assert total + 10**fall * unseen == pytest.approx(1, abs=1e-6), context
-    out = lm_automaton.score_documents(df, arc_share=1e-4).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    out = lm_automaton.score_documents(df, arc_floor=1e-3).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
     # one traversal gives the product of the conditional probabilities
     words = sorted(auto.words, key=auto.words.get)
@@ -112,6 +112,27 @@ def test_language_model_is_a_distribution_and_beats_the_base(spark):
     assert auto.walk(ids) == pytest.approx(want)
 
 
+def test_language_model_arcs_are_the_frequent_ngrams(spark):
+    df = documents(spark)
+    auto, _, n, _ = lm_automaton.train(df, arc_floor=1e-3)
+    least = lm_automaton.least_count(n, 1e-3, 0.25)
+    assert least > 2
+    grams = Counter()
+    for _, text in plain(df):
+        ts = lm_automaton.tokens(text)
+        grams.update(tuple(ts[i : i + k]) for k in (1, 2, 3) for i in range(len(ts) - k + 1))
+    want = {g for g, c in grams.items() if c >= least}
+    names = sorted(auto.words, key=auto.words.get)
+    got = {(w,) for w in names}
+    got |= {(*(names[i] for i in h), names[w]) for h, s in auto.states.items() if h for w in auto.arcs[s]}
+    assert got == want and any(len(g) == 3 for g in got)
+
+
+def test_language_model_grows_with_the_corpus():
+    bound = [n / lm_automaton.least_count(n, 1.2e-4, 0.25) for n in (10**7, 10**9, 10**11, 10**13)]
+    assert all(a * 3 < b < 17_000_000 for a, b in zip(bound, bound[1:]))
+
+
 def test_language_model_empty(spark, no_docs):
     assert lm_automaton.score_documents(no_docs).count() == 0
     held = spark.createDataFrame([(k, "a b") for k in range(40)], "doc_id long, text string")
