@@ -64,13 +64,14 @@ def test_column_pruning_reaches_scan(spark):
 
 
 def test_board_leaves_no_cache_and_reads_each_log_once(spark):
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs().size()  # caches of other tests in this session
     fx = fixtures.Fixtures(spark, SF_SMALL, P)
     h = boards.History(fx, P)
     board = boards.lifecycle_board(fx, P, hist=h)
     assert board.count() == history.calendar_from_links(fx.pref_current, fx.devices, P).filter(
         F.col("cal_date") < F.lit(P.as_of)
     ).count()
-    assert not spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() <= held
     plan = _plan(board)
     for event in ("view", "click"):
         assert len(re.findall(rf"PushedFilters: \[[^\]]*EqualTo\(event_type,{event}\)", plan)) == 1, event
