@@ -35,22 +35,16 @@ SEQ_BITS = 33
 class _Item:
     """An example, or what is left of one from ``start`` on; ids from ``loss_from`` on bear loss."""
 
-    __slots__ = ("key", "ids", "start", "size", "loss_from")
+    __slots__ = ("key", "ids", "start", "size", "loss_from", "at")
 
     def __init__(self, key, ids: bytes, loss_from: int) -> None:
         self.key, self.ids, self.start, self.size, self.loss_from = key, ids, 0, len(ids) // 4, loss_from
-
-    def left(self) -> int:
-        return self.size - self.start
+        self.at = -1  # place in the window
 
     def loss(self, n: int) -> int:
         """Loss-bearing ids among the next n."""
         return max(0, self.start + n - max(self.start, self.loss_from))
 
-    def most(self, tokens: int, loss: int) -> int:
-        """The longest next piece within both limits."""
-        return min(tokens, self.left(), max(0, self.loss_from - self.start) + loss)
-
 
 class Packer:
     """Packs a stream of examples; ``add`` and ``close`` yield finished sequences as lists of (item, start, length)."""
@@ -60,9 +54,11 @@ class Packer:
             raise ValueError("max_tokens must be a power of two and the other limits positive")
         self.cap = (max_tokens, max_segments, max_loss)
         self.window, self.items = window, []
+        #: per place of the window: tokens left, loss-bearing ones among them, tokens before the first of those
+        self.left, self.loss, self.free = (np.zeros(window + 1, dtype=np.int64) for _ in range(3))
 
     def add(self, item: _Item) -> Iterator[list]:
-        self.items.append(item)
+        self._put(item)
         while len(self.items) >= self.window:
             yield from self._sequence()
 
@@ -70,41 +66,62 @@ class Packer:
         while self.items:
             yield from self._sequence()
 
-    def _choose(self, left: tuple[int, int, int]) -> tuple[int, int]:
+    def _put(self, x: _Item) -> None:
+        x.at = len(self.items)
+        self.items.append(x)
+        self._note(x)
+
+    def _note(self, x: _Item) -> None:
+        left = x.size - x.start
+        self.left[x.at], self.loss[x.at], self.free[x.at] = left, x.loss(left), max(0, x.loss_from - x.start)
+
+    def _drop(self, x: _Item) -> None:
+        last = self.items.pop()
+        if last is not x:
+            self.items[x.at] = last
+            for v in (self.left, self.loss, self.free):
+                v[x.at] = v[last.at]
+            last.at = x.at
+        x.at = -1
+
+    def _choose(self, left: list[int]) -> tuple[int, int]:
         """(index, length) of the best whole example that fits, else of the best cut."""
         cap_t, cap_s, cap_l = self.cap
-        size = np.array([x.left() for x in self.items], dtype=np.int64)
-        loss = np.array([x.loss(x.left()) for x in self.items], dtype=np.int64)
-        dot = size / cap_t * (left[0] / cap_t) + left[1] / cap_s / cap_s + loss / cap_l * (left[2] / cap_l)
+        n = len(self.items)
+        size, loss = self.left[:n], self.loss[:n]
+        dot = size * (left[0] / cap_t / cap_t) + loss * (left[2] / cap_l / cap_l) + left[1] / cap_s / cap_s
         fits = (size <= left[0]) & (loss <= left[2])
-        if fits.any():
-            k = int(np.argmax(np.where(fits, dot, -1.0)))
+        k = int(np.argmax(np.where(fits, dot, -1.0)))
+        if fits[k]:
             return k, int(size[k])
-        piece = [x.most(left[0], left[2]) for x in self.items]
-        k = max(range(len(piece)), key=lambda i: (piece[i], dot[i]))
-        return k, piece[k]
+        piece = np.minimum(np.minimum(size, left[0]), self.free[:n] + left[2])
+        k = int(np.argmax(np.where(piece == piece.max(), dot, -1.0)))
+        return k, int(piece[k])
 
     def _sequence(self) -> Iterator[list]:
         left, out = list(self.cap), []
         while left[0] and left[1] and self.items:
-            k, n = self._choose((left[0], left[1], left[2]))
+            k, n = self._choose(left)
             if n == 0:
                 break
             x = self.items[k]
             out.append((x, x.start, n))
             left = [left[0] - n, left[1] - 1, left[2] - x.loss(n)]
             x.start += n
-            if not x.left():
-                self.items[k] = self.items[-1]
-                self.items.pop()
+            if x.start == x.size:
+                self._drop(x)
+            else:
+                self._note(x)
         fill = self.cap[0] - left[0]
         over = fill - (1 << (fill.bit_length() - 1)) if fill else 0
         while over:
             x, start, n = out.pop()
             cut = min(over, n)
-            if not x.left():
-                self.items.append(x)
             x.start -= cut
+            if x.at < 0:
+                self._put(x)
+            else:
+                self._note(x)
             over -= cut
             if cut < n:
                 out.append((x, start, n - cut))
