@@ -39,6 +39,10 @@ class WordEncoder:
         self.tok.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        # byte-level vocabularies write the space byte as U+0120
+        vocab = self.tok.get_vocab()
+        self.starts = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.starts[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -54,6 +58,23 @@ class WordEncoder:
             for e in self.tok.encode_batch_fast(texts[k : k + WHOLE_AT_A_TIME], add_special_tokens=False)
         ]
 
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """The id bytes of each word with a space before it; the words hold no space and touch no white space."""
+        out: list[bytes] = []
+        for k in range(0, len(words), WHOLE_AT_A_TIME):
+            part = words[k : k + WHOLE_AT_A_TIME]
+            (e,) = self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, dtype=self.kind)
+            # ids that begin with the space begin a word
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) != len(part) or at[0]:
+                out += self.whole([" " + w for w in part])
+                continue
+            raw, step = ids.tobytes(), self.kind.itemsize
+            cuts = [*(at * step).tolist(), len(raw)]
+            out += [raw[a:z] for a, z in zip(cuts, cuts[1:])]
+        return out
+
     def end(self, token: int) -> bytes:
         return np.array([token], dtype=self.kind).tobytes()
 
@@ -69,7 +90,7 @@ class WordEncoder:
                 new.update(filterfalse(cache.__contains__, islice(words, 1, None)))
         if new:
             listed = sorted(new)
-            cache.update(zip(listed, self.whole([" " + w for w in listed])))
+            cache.update(zip(listed, self.spaced(listed)))
         first = self.whole([words[0] if words is not None else t for words, t in zip(split, texts)])
         get = cache.__getitem__
         return [f if words is None else f + b"".join(map(get, islice(words, 1, None))) for f, words in zip(first, split)]
