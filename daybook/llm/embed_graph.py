@@ -1,14 +1,15 @@
 """Embedding near-duplicates on a robust-pruned flat graph.
 
 1. Equal vectors of a label become one node with a weight.
-2. Centroids come from a bounded hash sample (``sample_rows``); every node goes
+2. Centroids come from a bounded hash sample (``sample_rows``), one for every
+   ``shard_rows`` nodes up to ``max_cells`` (4 million nodes); every node goes
    to its ``overlap`` nearest cells of its label, and a cell larger than a
-   shard is dealt into sub-shards by hash.
+   shard, by skew or beyond that many nodes, is dealt into sub-shards by hash.
 3. Build: per shard each node keeps at most ``degree`` neighbours by robust
    pruning: a candidate is dropped when a kept neighbour is closer to it, by
    the factor ``alpha``, than the node is.  The lists of a node from all its shards are united.
-4. Search: each node queries its nearest ``probes`` cells and every tight cell
-   that the triangle inequality cannot rule out.  From a shard's medoids a greedy search
+4. Search: each node queries its nearest ``probes`` cells and every cell whose
+   core, the nodes within the threshold of the centroid, the triangle inequality cannot rule out.  From a shard's medoids a greedy search
    with a beam finds the query's surroundings; then the range
    expands: every node within reach of the threshold is expanded until no new one is in reach.
 5. Audit: a hash share of the queries is also compared with the whole shard.
@@ -42,6 +43,10 @@ from daybook.llm.common import cut
 from daybook.llm.components import connected_components
 
 BLOCK_QUERIES = 4096
+#: Centroids found at once; above it they are found in two levels.
+FLAT_CELLS = 256
+#: Similarities to centroids that a task holds at a time.
+CELLS_AT_A_TIME = 1 << 22
 
 
 def unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -51,6 +56,27 @@ def unit_rows(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    step = max(1, CELLS_AT_A_TIME // len(c))
+    return np.concatenate([np.argmax(x[k : k + step] @ c.T, axis=1) for k in range(0, len(x), step)])
+
+
+def _k_means(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """About k centroids of the unit rows x; many are found in two levels."""
+    if k > FLAT_CELLS:
+        near = _nearest(x, _k_means(x, int(k**0.5), rounds))
+        parts = [x[near == j] for j in np.unique(near)]
+        return np.concatenate([_k_means(p, max(1, round(k * len(p) / len(x))), rounds) for p in parts])[:k]
+    c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    for _ in range(rounds if k > 1 else 1):
+        near = _nearest(x, c)
+        for j in range(k):
+            own = x[near == j]
+            if len(own) and (norm := np.linalg.norm(s := own.sum(axis=0))) > 1e-9:
+                c[j] = s / norm
+    return c
+
+
 def centroids(sample: pd.DataFrame, share: float, shard_rows: int, max_cells: int, rounds: int = 6) -> dict:
     """Per (label, length) the centroids of a spherical k-means on the sample; share: sample rows per row."""
     out = {}
@@ -58,18 +84,24 @@ def centroids(sample: pd.DataFrame, share: float, shard_rows: int, max_cells: in
     for key, part in sorted(sample.groupby(["label", "dim"]), key=lambda kv: -len(kv[1])):
         x = unit_rows(part["vec"])
         k = int(min(max(1, round(len(x) / share / shard_rows)), max(1, len(x) // 4), max(1, cells_left)))
-        cells_left -= k
-        c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
-        for _ in range(rounds if k > 1 else 1):
-            near = np.argmax(x @ c.T, axis=1)
-            for j in range(k):
-                own = x[near == j]
-                if len(own) and (norm := np.linalg.norm(s := own.sum(axis=0))) > 1e-9:
-                    c[j] = s / norm
-        out[(key[0], int(key[1]))] = c
+        c = out[(key[0], int(key[1]))] = _k_means(x, k, rounds)
+        cells_left -= len(c)
     return out
 
 
+def by_nearness(x: np.ndarray, c: np.ndarray, many: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """In bounded pieces of x: (first row, similarity to every centroid, the ``many`` nearest centroids in order)."""
+    step = max(1, CELLS_AT_A_TIME // len(c))
+    for k in range(0, len(x), step):
+        sim = x[k : k + step] @ c.T
+        if many < len(c):
+            top = np.sort(np.argpartition(-sim, many - 1, axis=1)[:, :many], axis=1)
+        else:
+            top = np.broadcast_to(np.arange(len(c)), sim.shape)
+        order = np.argsort(-np.take_along_axis(sim, top, axis=1), axis=1, kind="stable")
+        yield k, sim, np.take_along_axis(top, order, axis=1)
+
+
 def robust_prune(x: np.ndarray, degree: int, alpha: float, near: int = 48, far: int = 16) -> np.ndarray:
     """(n, degree) neighbour numbers, -1 where fewer; candidates are the nearest and some spread over the shard."""
     n = len(x)
@@ -231,8 +263,8 @@ def near_duplicate_vectors(
     slack: float = 0.05,
     audit_share: int = 16,
     min_recall: float = 0.99,
-    sample_rows: int = 8192,
-    max_cells: int = 1024,
+    sample_rows: int = 32_768,
+    max_cells: int = 8192,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, audit): rows has id_col, n_links, component_id, kept; audit has audited and found links."""
     spark = df.sparkSession
@@ -247,7 +279,9 @@ def near_duplicate_vectors(
         .withColumn("rid", F.monotonically_increasing_id())
     )
     total = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("rid")).limit(sample_rows).select("label", "dim", "vec").toPandas()
+    # a hash share of the rows, near sample_rows of them; the limit only proves the bound
+    drawn = nodes.withColumn("h", F.xxhash64("rid")).where(F.pmod("h", F.lit(1 << 30)) < (sample_rows << 30) // max(total, 1))
+    sample = drawn.select("h", "label", "dim", "vec").limit(2 * sample_rows).toPandas().sort_values("h")
     cells = spark.sparkContext.broadcast(
         centroids(sample, max(len(sample), 1) / max(total, 1), shard_rows, max_cells)
     )
@@ -258,12 +292,16 @@ def near_duplicate_vectors(
             for (label, dim), part in b.groupby(["label", "dim"]):
                 x = unit_rows(part["vec"])
                 c = cells.value.get((label, int(dim)))
-                sim = x @ c.T if c is not None else np.ones((len(x), 1))
-                order = np.argsort(-sim, axis=1, kind="stable")
-                away = np.arccos(np.clip(np.take_along_axis(sim, order[:, :1], axis=1)[:, 0], -1, 1))
+                order, away = np.zeros((len(x), 1), dtype=int), np.zeros(len(x))
+                if c is not None:
+                    order = np.zeros((len(x), min(overlap, len(c))), dtype=int)
+                    for k, sim, near in by_nearness(x, c, overlap):
+                        order[k : k + len(near)] = near
+                        own = np.take_along_axis(sim, near[:, :1], axis=1)[:, 0]
+                        away[k : k + len(near)] = np.arccos(np.clip(own, -1, 1))
                 yield pd.DataFrame(
                     {"label": label, "dim": dim, "rid": part["rid"], "copies": part["copies"], "vec": part["vec"],
-                     "cells": list(order[:, :overlap]), "away": away, "sampled": c is not None}
+                     "cells": list(order), "away": away, "sampled": c is not None}
                 )
 
     fields = f"label {label_type}, dim int, rid long, copies long, vec array<double>"
@@ -271,16 +309,16 @@ def near_duplicate_vectors(
     # at most max_cells cells have a centroid; labels outside the sample are one cell each and stay in Spark
     cell_sizes = nodes_in.select("label", "dim", F.explode("cells").alias("cell")).groupBy("label", "dim", "cell").count()
     sub_of = cell_sizes.select("label", "dim", "cell", F.ceil(F.col("count") / (2 * shard_rows * overlap)).cast("int").alias("subs"))
+    angle = float(np.arccos(threshold))
+    # of a cell's core, the nodes of its own within the threshold of the centroid: far ones must not hide the core
     radius = {
         (r["label"], r["dim"], r["cell"]): r["r"]
-        for r in nodes_in.where("sampled")
+        for r in nodes_in.where(F.col("sampled") & (F.col("away") <= angle))
         .groupBy("label", "dim", F.col("cells")[0].alias("cell"))
         .agg(F.max("away").alias("r"))
         .collect()
     }
     radii = spark.sparkContext.broadcast(radius)
-    angle = float(np.arccos(threshold))
-
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for (label, dim), part in b.groupby(["label", "dim"]):
@@ -288,13 +326,12 @@ def near_duplicate_vectors(
                 if c is None:
                     to = [np.zeros(1, dtype=int)] * len(part)
                 else:
-                    sim = np.clip(unit_rows(part["vec"]) @ c.T, -1, 1)
-                    near = np.argsort(-sim, axis=1, kind="stable")[:, : max(probes, overlap)]
-                    go = np.zeros(sim.shape, dtype=bool)
-                    np.put_along_axis(go, near, True, axis=1)
-                    r = np.array([radii.value.get((label, int(dim), j), 0.0) for j in range(len(c))])
-                    go |= (np.arccos(sim) <= angle + r) & (r <= angle)
-                    to = [np.flatnonzero(g) for g in go]
+                    r = np.array([radii.value.get((label, int(dim), j), -np.inf) for j in range(len(c))])
+                    to = []
+                    for _, sim, near in by_nearness(unit_rows(part["vec"]), c, max(probes, overlap)):
+                        go = np.arccos(np.clip(sim, -1, 1)) <= angle + r + 1e-6
+                        np.put_along_axis(go, near, True, axis=1)
+                        to += [np.flatnonzero(g) for g in go]
                 yield pd.DataFrame({"label": label, "dim": dim, "rid": part["rid"], "vec": part["vec"], "routes": to})
 
     sub = F.pmod(F.xxhash64("rid"), F.col("subs")).cast("int")
@@ -381,10 +418,11 @@ def near_duplicate_vectors(
         # a pair counts in the first of the found node's cells that the query visits
         firsts = np.array([c[0] for c in own["cells"]])
         at_home = firsts[b] == cell
-        routes = np.zeros((len(qid), max(int(firsts.max()), int(max(r.max() for r in asks["routes"]))) + 1), dtype=bool)
-        for i, r in enumerate(asks["routes"]):
-            routes[i, r] = True
-        counts_here = at_home | ~routes[a, firsts[b]]
+        span = max(int(firsts.max()), int(max(r.max() for r in asks["routes"]))) + 1
+        visits = np.concatenate([i * span + np.sort(r) for i, r in enumerate(asks["routes"])])
+        home = a * span + firsts[b]
+        visited = visits[np.minimum(np.searchsorted(visits, home), len(visits) - 1)] == home
+        counts_here = at_home | ~visited
         links = np.zeros(len(qid), dtype=np.int64)
         np.add.at(links, a[counts_here], own["copies"].to_numpy()[b[counts_here]])
         names, inv = np.unique(np.concatenate([qid, rid]), return_inverse=True)

@@ -62,6 +62,30 @@ def test_vectors_against_all_pairs(spark):
     assert a["found"] >= 0.99 * a["audited"] > 0
 
 
+def test_vectors_with_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(embed_graph, "FLAT_CELLS", 4)
+    rows = vector_rows()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out, _ = embed_graph.near_duplicate_vectors(df, shard_rows=16)
+    got, want = rows_of(out, "vec_id", "n_links", "component_id"), sorted(brute.vector_links(rows, 0.93), key=repr)
+    assert all(g[0] == w[0] and g[1] <= w[1] for g, w in zip(got, want))
+    assert np.mean([g == w for g, w in zip(got, want)]) > 0.97
+
+
+def test_nearest_centroids_in_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    x, c = (embed_graph.unit_rows(__import__("pandas").Series(list(rng.normal(size=(n, 8))))) for n in (500, 60))
+    monkeypatch.setattr(embed_graph, "CELLS_AT_A_TIME", 60 * 7)
+    want = np.argsort(-(x @ c.T), axis=1, kind="stable")
+    for many in (1, 5, 60, 90):
+        pieces = list(embed_graph.by_nearness(x, c, many))
+        assert [p[0] for p in pieces] == list(range(0, 500, 7))
+        assert (np.concatenate([p[2] for p in pieces]) == want[:, :many]).all()
+    assert (embed_graph._nearest(x, c) == want[:, 0]).all()
+    monkeypatch.setattr(embed_graph, "FLAT_CELLS", 8)
+    assert 40 <= len(embed_graph._k_means(x, 60, 3)) <= 60
+
+
 def test_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     out, audit = embed_graph.near_duplicate_vectors(df)
