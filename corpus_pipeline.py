@@ -6,16 +6,17 @@ columns of documents.  ``run`` writes each stage's result as Parquet into the
 shared checkpoint folder and reads it back as the next stage's input.
 
 Filtering stages keep every row that their operator does not reject; rows with
-a null id are kept by the first two stages and by decontamination only on their own text's score.  Of a
-near-duplicate group the row whose id is the component's stays (the first in
-text order if that id is repeated; all of a component with null ids count as one group).
+a null id are kept by the first two stages and by decontamination only on their own text's score.  Of each
+near-duplicate group exactly one row stays: the one with the lowest id, null ids last, then the first in
+text order and in that of the other columns.  Groups are never merged by an id: rows with a null id, or with one id
+and different texts, belong each to the group of their own text.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm import bpe, packing, quality_cnn, simhash_ring, toxicity_chain, winnow
@@ -57,11 +58,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group."""
     ship_package(spark)
-    groups = simhash_ring.near_duplicates(docs, shingle=4, max_bits=4)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = _documents(docs).join(keep.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    keyed = _keyed(_documents(docs))
+    # rows are told apart by _key, so the smallest key of a component names that component alone
+    groups = simhash_ring.near_duplicates(keyed, "_key", shingle=4, max_bits=4).select("_key", "component_id").distinct()
+    columns = [c for c in keyed.columns if c not in ("_key", "doc_id")]
+    # a minimum, so a large group leaves each task as one row
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_no_id"), "doc_id", "text", *[c for c in columns if c != "text"]))
+    one = keyed.join(groups, "_key").groupBy("component_id").agg(first.alias("_row"))
+    return one.select(*[F.col("_row")[c].alias(c) for c in keyed.columns if c != "_key"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

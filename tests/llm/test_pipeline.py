@@ -38,3 +38,24 @@ def test_stages_take_awkward_rows(spark, stage):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert stage(spark, df, SF).count() > 0
     assert stage(spark, df.where("false"), SF).count() == 0
+
+
+def test_simhash_keeps_one_row_of_each_group(spark):
+    fox = "the quick brown fox jumps over the lazy dog and runs far away from here today"
+    rows = [
+        (None, "a first clean text that has no id and nothing like it"),
+        (None, "another clean text, also without an id, about something else"),
+        (None, "zebras graze on the wide plain while lions sleep under the old trees"),
+        (None, "zebras graze on the wide plain while lions sleep under the old trees"),
+        (None, "ZEBRAS graze on the wide plain while lions sleep under the old trees"),
+        (3, fox),
+        (7, fox.upper()),
+        (None, fox),
+        (7, "seven again with quite a different text that is alone in its own group"),
+        (9, "nine says one thing about the harbour in the early morning light"),
+        (9, "nine also says that taxes were raised twice before the war began"),
+    ]
+    df = spark.createDataFrame([(k, t, None, None, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    now = [(r["doc_id"], r["text"]) for r in corpus_pipeline.simhash(spark, df, SF).collect()]
+    want = [rows[k] for k in (0, 1, 4, 5, 8, 9, 10)]
+    assert sorted(now, key=str) == sorted(want, key=str)
