@@ -12,9 +12,13 @@
    core, the nodes within the threshold of the centroid, the triangle inequality cannot rule out.  From a shard's medoids a greedy search
    with a beam finds the query's surroundings; then the range
    expands: every node within reach of the threshold is expanded until no new one is in reach.
-5. Audit: a hash share of the queries is also compared with the whole shard.
-   A shard whose recall is below ``min_recall`` searches again with a doubled beam, at last
-   of the shard's size, so low recall is repaired, not only reported.
+5. Audit of the routes: the nodes with an id divisible by 100 (of more than ``audit_queries``
+   those with the lowest hashes) are compared with all nodes of their label, and ``probes`` is
+   raised until ``min_recall`` of their links, themselves left out, meet in a cell.  The table
+   ``audit`` gives these links and how many of them meet.
+   Audit of the search: a hash share of the queries is compared with the whole shard; a shard whose recall,
+   without self hits, is below ``min_recall`` searches again with a doubled beam.  At last every query is compared
+   with the whole shard and what the search missed is added, so nothing is missed in a shard that is visited.
 6. Verify: links are those with cosine >= threshold in double precision.
 
 A pair is counted in one shard only (the first of the found node's cells that the
@@ -248,6 +252,15 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def cell_places(x: np.ndarray, c: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """(rows, centroids) place of each cell among a row's nearest, 0 where the cell is within the angle ``within``."""
+    sim = x @ c.T
+    out = np.empty(sim.shape, dtype=np.int32)
+    np.put_along_axis(out, np.argsort(-sim, axis=1, kind="stable"), np.arange(len(c), dtype=np.int32)[None, :], axis=1)
+    out[np.arccos(np.clip(sim, -1, 1)) <= within] = 0
+    return out
+
+
 def near_duplicate_vectors(
     df: DataFrame,
     id_col: str = "vec_id",
@@ -265,8 +278,9 @@ def near_duplicate_vectors(
     min_recall: float = 0.99,
     sample_rows: int = 32_768,
     max_cells: int = 8192,
+    audit_queries: int = 1024,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, audit): rows has id_col, n_links, component_id, kept; audit has audited and found links."""
+    """(rows, audit): rows has id_col, n_links, component_id, kept; audit has the stated queries' links and those found."""
     spark = df.sparkSession
     vec = F.col("vec")
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -275,7 +289,11 @@ def near_duplicate_vectors(
     good = src.where(usable).withColumn("dim", F.size("vec"))
     nodes = cut(
         good.groupBy("label", "dim", "vec")
-        .agg(F.count("*").alias("copies"), F.min("id").alias("low"))
+        .agg(
+            F.count("*").alias("copies"),
+            F.min("id").alias("low"),
+            F.max(F.coalesce(F.col("id") % 100 == 0, F.lit(False))).alias("stated"),
+        )
         .withColumn("rid", F.monotonically_increasing_id())
     )
     total = nodes.count()
@@ -305,7 +323,7 @@ def near_duplicate_vectors(
                 )
 
     fields = f"label {label_type}, dim int, rid long, copies long, vec array<double>"
-    nodes_in = cut(nodes.drop("low").mapInPandas(assign, f"{fields}, cells array<int>, away double, sampled boolean"))
+    nodes_in = cut(nodes.drop("low", "stated").mapInPandas(assign, f"{fields}, cells array<int>, away double, sampled boolean"))
     # at most max_cells cells have a centroid; labels outside the sample are one cell each and stay in Spark
     cell_sizes = nodes_in.select("label", "dim", F.explode("cells").alias("cell")).groupBy("label", "dim", "cell").count()
     sub_of = cell_sizes.select("label", "dim", "cell", F.ceil(F.col("count") / (2 * shard_rows * overlap)).cast("int").alias("subs"))
@@ -319,6 +337,60 @@ def near_duplicate_vectors(
         .collect()
     }
     radii = spark.sparkContext.broadcast(radius)
+
+    def cores(label: object, dim: int, many: int) -> np.ndarray:
+        return np.array([radii.value.get((label, dim, j), -np.inf) for j in range(many)])
+
+    stated = nodes.where("stated").select("label", "dim", "rid", "vec").orderBy(F.xxhash64("rid"), "rid").limit(audit_queries)
+    audited = spark.sparkContext.broadcast({(k[0], int(k[1])): v for k, v in stated.toPandas().groupby(["label", "dim"])})
+
+    def missing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(place, links): how far down the nearest cells a pair's better side must go until the two meet."""
+        known: dict = {}
+        for b in batches:
+            for (label, dim), part in b.groupby(["label", "dim"]):
+                key = (label, int(dim))
+                if key not in audited.value:
+                    continue
+                c = cells.value.get(key)
+                if key not in known:
+                    xq, within = unit_rows(audited.value[key]["vec"]), None
+                    if c is not None:
+                        within = angle + cores(label, int(dim), len(c)) + 1e-6
+                        homes = np.concatenate([near for _, _, near in by_nearness(xq, c, overlap)])[:, :overlap]
+                        known[key] = xq, within, homes, cell_places(xq, c, within)
+                    else:
+                        known[key] = xq, None, None, None
+                xq, within, homes, places = known[key]
+                x, rid, copies = unit_rows(part["vec"]), part["rid"].to_numpy(), part["copies"].to_numpy()
+                qid, own = audited.value[key]["rid"].to_numpy(), np.stack(part["cells"].to_numpy())
+                step = max(1, CELLS_AT_A_TIME // max(len(xq), 1 if c is None else len(c)))
+                for k in range(0, len(x), step):
+                    i, j = np.nonzero((xq @ x[k : k + step].T >= threshold) & (qid[:, None] != rid[None, k : k + step]))
+                    if not len(i):
+                        continue
+                    place = np.zeros(len(i), dtype=np.int64)
+                    if c is not None:
+                        used, at = np.unique(j, return_inverse=True)
+                        back = cell_places(x[k + used], c, within)
+                        place[:] = len(c)
+                        for o in range(homes.shape[1]):
+                            place = np.minimum(place, np.minimum(places[i, own[k + j, o]], back[at, homes[i, o]]))
+                    links = np.bincount(place, weights=copies[k + j]).astype(np.int64)
+                    yield pd.DataFrame({"place": np.flatnonzero(links), "links": links[links > 0]})
+
+    # at most max_cells rows
+    needed = (
+        nodes_in.mapInPandas(missing, "place long, links long").groupBy("place").agg(F.sum("links").alias("links")).orderBy("place").collect()
+    )
+    all_links = sum(r["links"] for r in needed)
+    met = lambda many: sum(r["links"] for r in needed if r["place"] < many)
+    for r in needed:
+        if met(probes) >= min_recall * all_links:
+            break
+        probes = max(probes, r["place"] + 1)
+    audit = spark.createDataFrame([(all_links, met(max(probes, overlap)))], "audited long, found long")
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for (label, dim), part in b.groupby(["label", "dim"]):
@@ -326,7 +398,7 @@ def near_duplicate_vectors(
                 if c is None:
                     to = [np.zeros(1, dtype=int)] * len(part)
                 else:
-                    r = np.array([radii.value.get((label, int(dim), j), -np.inf) for j in range(len(c))])
+                    r = cores(label, int(dim), len(c))
                     to = []
                     for _, sim, near in by_nearness(unit_rows(part["vec"]), c, max(probes, overlap)):
                         go = np.arccos(np.clip(sim, -1, 1)) <= angle + r + 1e-6
@@ -375,7 +447,7 @@ def near_duplicate_vectors(
     )
 
     def search(key: tuple, asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"rid": [], "links": [], "root": [], "audited": [], "found": []}).astype("int64")
+        none = pd.DataFrame({"rid": [], "links": [], "root": []}).astype("int64")
         if not len(asks) or not len(own):
             return none
         own, asks = own.sort_values("rid"), asks.sort_values("rid")
@@ -393,7 +465,7 @@ def near_duplicate_vectors(
         g = _both_ways(g, src_n, g[src_n, col])
         starts, cell = _medoids(xf), int(key[2])
         check = np.flatnonzero(qid % audit_share == 0)
-        truth = (qf[check] @ xf.T >= threshold) if len(check) else np.zeros((0, len(rid)), dtype=bool)
+        truth = (qf[check] @ xf.T >= threshold) & (qid[check][:, None] != rid)
         width = beam
         while True:
             a, b = [], []
@@ -408,6 +480,8 @@ def near_duplicate_vectors(
             if found >= min_recall * truth.sum() or width >= len(rid):
                 break
             width *= 2
+        for k in range(0, len(qid), 512):
+            got[k : k + 512] |= qf[k : k + 512] @ xf.T >= threshold - 1e-4
         a, b = np.nonzero(got)
         exact = np.zeros(len(a), dtype=bool)
         for k in range(0, len(a), 1 << 16):
@@ -430,20 +504,14 @@ def near_duplicate_vectors(
         per_node = np.zeros(len(names), dtype=np.int64)
         per_node[inv[: len(qid)]] = links
         keep = (root != names) | (per_node > 0)
-        out = pd.DataFrame({"rid": names[keep], "links": per_node[keep], "root": root[keep], "audited": 0, "found": 0})
-        audit = pd.DataFrame({"rid": [-1], "links": [0], "root": [-1], "audited": [int(truth.sum())], "found": [found]})
-        return pd.concat([out, audit]).astype("int64")
+        return pd.DataFrame({"rid": names[keep], "links": per_node[keep], "root": root[keep]}).astype("int64")
 
     keys = ["label", "dim", "cell", "sub", "block"]
-    found = cut(
+    real = cut(
         left.groupBy(*keys)
         .cogroup(right.groupBy(*keys))
-        .applyInPandas(search, "rid long, links long, root long, audited long, found long")
-    )
-    audit = found.where("rid < 0").agg(
-        F.coalesce(F.sum("audited"), F.lit(0)).alias("audited"), F.coalesce(F.sum("found"), F.lit(0)).alias("found")
+        .applyInPandas(search, "rid long, links long, root long")
     )
-    real = found.where("rid >= 0")
     comp = connected_components(real.select(F.col("rid").alias("u"), F.col("root").alias("v")))
     links = real.groupBy("rid").agg(F.sum("links").alias("links"))
     named = (

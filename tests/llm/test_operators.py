@@ -86,6 +86,25 @@ def test_nearest_centroids_in_pieces(monkeypatch):
     assert 40 <= len(embed_graph._k_means(x, 60, 3)) <= 60
 
 
+def scattered_pairs():
+    """Pairs of near vectors that lie anywhere, so routes by the nearest cell alone part many of them."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8))
+    y = x + rng.normal(size=x.shape) * 0.12
+    return [(100 * i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, y]))]
+
+
+def test_probes_rise_until_stated_queries_find_their_links(spark):
+    rows = scattered_pairs()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out, audit = embed_graph.near_duplicate_vectors(df, shard_rows=8, overlap=1, probes=1)
+    truth = sum(w[1] for w in brute.vector_links(rows, 0.93))
+    audited, found = audit.first()
+    assert audited == pytest.approx(truth * min(1, 1024 / len(rows)), rel=0.1)
+    assert found >= 0.99 * audited
+    assert sum(r["n_links"] for r in out.collect()) >= 0.97 * truth
+
+
 def test_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     out, audit = embed_graph.near_duplicate_vectors(df)
