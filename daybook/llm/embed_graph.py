@@ -21,8 +21,9 @@
    with the whole shard and what the search missed is added, so nothing is missed in a shard that is visited.
 6. Verify: links are those with cosine >= threshold in double precision.
 
-A pair is counted in one shard only (the first of the found node's cells that the
-query visits), so counts need no list of pairs; out of a shard come, per node, a
+A pair is counted for the query in one shard only (the first of the found node's cells that the
+query visits), and there for the found node too if that one's own routes cannot lead it to the query, so both
+sides count a pair that either finds and counts need no list of pairs; out of a shard come, per node, a
 weighted count and a link to the smallest node it is connected with there.
 Queries are dealt in blocks, each with a copy of the shard, so a large cell is
 split over tasks and no task holds more than a shard and a block of queries.
@@ -404,11 +405,15 @@ def near_duplicate_vectors(
                         go = np.arccos(np.clip(sim, -1, 1)) <= angle + r + 1e-6
                         np.put_along_axis(go, near, True, axis=1)
                         to += [np.flatnonzero(g) for g in go]
-                yield pd.DataFrame({"label": label, "dim": dim, "rid": part["rid"], "vec": part["vec"], "routes": to})
+                yield pd.DataFrame(
+                    {"label": label, "dim": dim, "rid": part["rid"], "copies": part["copies"], "vec": part["vec"],
+                     "cells": part["cells"], "routes": to}
+                )
 
     sub = F.pmod(F.xxhash64("rid"), F.col("subs")).cast("int")
+    routed = cut(nodes_in.drop("away", "sampled").mapInPandas(route, f"{fields}, cells array<int>, routes array<int>"))
     members = (
-        nodes_in.select("*", F.explode("cells").alias("cell")).join(sub_of, ["label", "dim", "cell"]).withColumn("sub", sub)
+        routed.select("*", F.explode("cells").alias("cell")).join(sub_of, ["label", "dim", "cell"]).withColumn("sub", sub)
     )
 
     def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -423,10 +428,8 @@ def near_duplicate_vectors(
     )
     graph = lists.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
 
-    queries = nodes_in.select("label", "dim", "rid", "vec").mapInPandas(
-        route, f"label {label_type}, dim int, rid long, vec array<double>, routes array<int>"
-    )
-    asked = cut(queries).select("*", F.explode("routes").alias("cell"))
+    # columns of its own: members, the other side of the cogroup, come from the same table
+    asked = routed.select(*[F.col(c).alias(c) for c in routed.columns], F.explode("routes").alias("cell"))
     blocks = asked.groupBy("label", "dim", "cell").count().select(
         "label", "dim", "cell", F.ceil(F.col("count") / BLOCK_QUERIES).cast("int").alias("blocks")
     )
@@ -435,13 +438,16 @@ def near_duplicate_vectors(
     left = (
         asked.join(plan, ["label", "dim", "cell"])
         .withColumn("block", block)
-        .select("label", "dim", "cell", "block", "rid", "vec", "routes", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
-    )
+        .select(
+            "label", "dim", "cell", "block", "rid", "copies", "vec", "cells", "routes",
+            F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"),
+        )
+    )
     right = (
         members.join(graph, "rid")
         .join(blocks, ["label", "dim", "cell"])
         .select(
-            "label", "dim", "cell", "sub", "rid", "copies", "vec", "cells", "nbrs",
+            "label", "dim", "cell", "sub", "rid", "copies", "vec", "cells", "routes", "nbrs",
             F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         )
     )
@@ -492,17 +498,18 @@ def near_duplicate_vectors(
         # a pair counts in the first of the found node's cells that the query visits
         firsts = np.array([c[0] for c in own["cells"]])
         at_home = firsts[b] == cell
-        span = max(int(firsts.max()), int(max(r.max() for r in asks["routes"]))) + 1
-        visits = np.concatenate([i * span + np.sort(r) for i, r in enumerate(asks["routes"])])
-        home = a * span + firsts[b]
-        visited = visits[np.minimum(np.searchsorted(visits, home), len(visits) - 1)] == home
+        visited = _visits(asks["routes"], a, firsts[b])
         counts_here = at_home | ~visited
-        links = np.zeros(len(qid), dtype=np.int64)
-        np.add.at(links, a[counts_here], own["copies"].to_numpy()[b[counts_here]])
+        a_here, b_here = a[counts_here], b[counts_here]
+        homes, back = np.stack(asks["cells"].to_numpy()), np.zeros(len(a_here), dtype=bool)
+        for o in range(homes.shape[1]):
+            back |= _visits(own["routes"], b_here, homes[a_here, o])
         names, inv = np.unique(np.concatenate([qid, rid]), return_inverse=True)
         root = names[_forest(len(names), inv[a], inv[len(qid) + b])]
         per_node = np.zeros(len(names), dtype=np.int64)
-        per_node[inv[: len(qid)]] = links
+        np.add.at(per_node, inv[a_here], own["copies"].to_numpy()[b_here])
+        # a found node that never visits a cell of the query counts the pair here
+        np.add.at(per_node, inv[len(qid) + b_here[~back]], asks["copies"].to_numpy()[a_here[~back]])
         keep = (root != names) | (per_node > 0)
         return pd.DataFrame({"rid": names[keep], "links": per_node[keep], "root": root[keep]}).astype("int64")
 
@@ -530,6 +537,14 @@ def near_duplicate_vectors(
     return out, audit
 
 
+def _visits(routes: pd.Series, row: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether the routes of each given row hold the given cell."""
+    span = max(int(cell.max(initial=0)), int(max(r.max() for r in routes))) + 1
+    held = np.concatenate([i * span + np.sort(r).astype(np.int64) for i, r in enumerate(routes)])
+    asked = row * span + cell
+    return held[np.minimum(np.searchsorted(held, asked), len(held) - 1)] == asked
+
+
 def _both_ways(g: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The graph with every edge in both directions, lists padded with -1."""
     n = len(g)

@@ -105,6 +105,25 @@ def test_probes_rise_until_stated_queries_find_their_links(spark):
     assert sum(r["n_links"] for r in out.collect()) >= 0.97 * truth
 
 
+def test_links_count_on_both_sides(spark):
+    rows = scattered_pairs()
+    # a tight group, whose members look no farther than their own cell, and vectors around it
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=8)
+    rows += [(70_000 + i, (middle + rng.normal(size=8) * s).tolist(), 0) for i, s in enumerate(np.linspace(0.01, 0.5, 150))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out, _ = embed_graph.near_duplicate_vectors(df, shard_rows=8, overlap=1, probes=1, min_recall=0.0)
+    got = rows_of(out, "vec_id", "n_links", "component_id")
+    sizes = Counter(g[2] for g in got)
+    assert not [g for g in got if (g[1] == 0) != (sizes[g[2]] == 1)]
+    assert sum(g[1] for g in got) % 2 == 0
+    pairs = {g[2]: [] for g in got if sizes[g[2]] == 2}
+    for g in got:
+        if g[2] in pairs:
+            pairs[g[2]].append(g[1])
+    assert len(pairs) > 50 and all(p == [1, 1] for p in pairs.values())
+
+
 def test_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     out, audit = embed_graph.near_duplicate_vectors(df)
