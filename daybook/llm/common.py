@@ -56,3 +56,22 @@ def crc_mod(id_col: str | Column, m: int) -> Column:
 
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+#: A key is hot when it holds more than this share of the rows; fewer keys than this can be hot.
+HOT_SHARE = 4096
+
+
+def hot_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``many`` to ``one``, whose keys are unique, with no task holding a hot key.
+
+    Keys with more than 1 in ``HOT_SHARE`` of the rows of ``many`` number fewer than ``HOT_SHARE``, so
+    their rows of ``one`` are broadcast under that bound and their rows of ``many`` stay where they are; all other
+    keys meet in a shuffle join, where none is large.  Keys are not null; ``how`` is "inner", "left" or
+    "left_anti".  ``many`` is read more than once, so it should be checkpointed or stored.
+    """
+    total = many.count()
+    hot = cut(many.groupBy(*keys).count().where(F.col("count") * HOT_SHARE > total).select(*keys))
+    few = F.broadcast(one.join(F.broadcast(hot), keys, "left_semi"))
+    there = many.join(F.broadcast(hot), keys, "left_semi").join(few, keys, how)
+    return there.unionByName(many.join(F.broadcast(hot), keys, "left_anti").join(one, keys, how))

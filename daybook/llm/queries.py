@@ -9,16 +9,20 @@ from daybook.llm import (
     bpe,
     chat,
     embed_graph,
+    line_rules,
     lm_automaton,
+    merkle,
     packing,
     quality_cnn,
     shard_lp,
     simhash_ring,
+    term_matrix,
     token_files,
     toxicity_chain,
     winnow,
 )
 from daybook.llm.common import ship_package, table
+from daybook.llm.oracle_sql import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def op1_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +82,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_term_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_matrix.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op13_octopus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit_tampering(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,6 +122,9 @@ QUERIES = {
         op8_winnowing,
         op9_label_propagation,
         op10_token_files,
+        op11_term_matrix,
+        op12_line_rules,
+        op13_octopus_manifest,
         pipeline,
     )
 }
@@ -167,4 +186,10 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM texts LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
 """
 
-ORACLE = {"op4_chat_round_trip": OP4_SQL, "op8_winnowing": OP8_SQL}
+ORACLE = {
+    "op4_chat_round_trip": OP4_SQL,
+    "op8_winnowing": OP8_SQL,
+    "op11_term_matrix": OP11_SQL,
+    "op12_line_rules": OP12_SQL,
+    "op13_octopus_manifest": OP13_SQL,
+}
