@@ -8,25 +8,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybook.functions.timeutil import period_quarter
+from daybook.operators.sweep import cover
 from daybook.params import DEFAULT, TIER_LABELS, Params
 
 
-def interval_join(facts: DataFrame, acquisitions: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Facts inside [activation, next event - 1] of an acquisition of the same account.
+def interval_join(facts: DataFrame, acquisitions: DataFrame, params: Params = DEFAULT, one_a_day: bool = False) -> DataFrame:
+    """Facts (alias ``f``) inside [activation, next event - 1] of an acquisition (alias ``a``) of the same account.
 
-    An equi-join on ``account_id`` with a residual range condition: Spark plans
-    it as a sort-merge (or broadcast hash) join with a condition, and AQE
-    splits a skewed account across tasks.
+    A sweep over each account's days (``sweep.cover``) finds the interval of every day, and equi-joins
+    attach the rows: no range condition is left to a join, and a hot account is spread over blocks of its days.
+    ``one_a_day`` says that ``facts`` has at most one row per (account, day), which saves the join back to them.
     """
-    f = facts.alias("f")
-    a = acquisitions.alias("a")
-    end = F.coalesce(F.col("a.next_event_date_id") - 1, F.lit(params.open_end_sentinel))
-    cond = (
-        (F.col("f.account_id") == F.col("a.account_id"))
-        & (F.col("f.date_id") >= F.col("a.activation_date_id"))
-        & (F.col("f.date_id") <= end)
+    begin, end = F.col("activation_date_id"), F.coalesce(F.col("next_event_date_id") - 1, F.lit(params.open_end_sentinel))
+    a = acquisitions.withColumns({"__start": begin, "__end": end}).alias("a")
+    points = facts if one_a_day else facts.select("account_id", "date_id").distinct()
+    hits = cover(points, a, "account_id", "date_id", "__start", "__end").alias("f")
+    same = [F.col(f"f.{c}") == F.col(f"a.{c}") for c in ("account_id", "__start", "__end")]
+    found = hits.join(a, same)
+    if one_a_day:
+        return found
+    owned = found.select("f.account_id", "f.date_id", *[F.col(f"a.{c}").alias(f"__a_{c}") for c in acquisitions.columns]).alias("h")
+    joined = facts.alias("f").join(owned, (F.col("f.account_id") == F.col("h.account_id")) & (F.col("f.date_id") == F.col("h.date_id")))
+    left = joined.select(*[F.col(f"f.{c}").alias(f"__f_{c}") for c in facts.columns], *[f"__a_{c}" for c in acquisitions.columns])
+    # the callers' names f.x and a.x, as two structs
+    return left.select(
+        F.struct(*[F.col(f"__f_{c}").alias(c) for c in facts.columns]).alias("f"),
+        F.struct(*[F.col(f"__a_{c}").alias(c) for c in acquisitions.columns]).alias("a"),
     )
-    return f.join(a, cond)
 
 
 def daily_amounts(facts: DataFrame) -> DataFrame:
@@ -74,7 +82,7 @@ def revenue_91d(facts: DataFrame, acquisitions: DataFrame, geo: DataFrame, param
     )
     # Facts before the selected year's first activation day cannot join an interval.
     f = facts.select("account_id", "date_id", "amount").filter(F.col("date_id") >= year_start)
-    j = interval_join(daily_amounts(f), acq, params)
+    j = interval_join(daily_amounts(f), acq, params, one_a_day=True)
     g = geo.select("country_code", "region")
     j = j.join(g, F.col("a.country_code") == g.country_code, "left")
     a_day = F.col("a.activation_date_id")
