@@ -104,7 +104,7 @@ def outage_links(params: Params = DEFAULT) -> Column:
     return F.array_compact(F.array(*each)) if each else F.array().cast("array<date>")
 
 
-def history_days(norm: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def history_days(norm: DataFrame, params: Params = DEFAULT, state: DataFrame | None = None) -> DataFrame:
     """Normalised rows, with each one-flag (account_id, partition_date) collapsed to one row.
 
     Columns: ``pref_flag``, ``first_link`` (link day of the day's first row in
@@ -114,6 +114,9 @@ def history_days(norm: DataFrame, params: Params = DEFAULT) -> DataFrame:
     ``row_key`` (order within the day) and ``prev_flag`` (flag of the account's
     previous row, null on its first).  On a day with several flags every
     row stays, so changes inside the day are seen.
+
+    ``norm`` may hold the days of a range only; ``state`` (see ``state.history_state``) then names each
+    account's last row before it, from which ``prev_flag`` goes on.
     """
     link, flag = F.col("link_date"), F.col("pref_flag")
     out = in_outage(link, params)
@@ -145,12 +148,18 @@ def history_days(norm: DataFrame, params: Params = DEFAULT) -> DataFrame:
         *masks,
         row_order(link, flag).alias("row_key"),
     )
-    return with_previous(single.unionByName(rows))
+    return with_previous(single.unionByName(rows), state)
 
 
-def with_previous(days: DataFrame) -> DataFrame:
+def with_previous(days: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Add ``prev_flag``; the rows of ``state`` come before all others and are left out again."""
     w = Window.partitionBy("account_id").orderBy("partition_date", "row_key")
-    return days.withColumn("prev_flag", F.lag("pref_flag").over(w))
+    prev = F.lag("pref_flag").over(w)
+    if state is None:
+        return days.withColumn("prev_flag", prev)
+    carried = state.select("account_id", "partition_date", "pref_flag", F.lit(0).cast("bigint").alias("row_key"), F.lit(True).alias("carried"))
+    both = days.withColumn("carried", F.lit(False)).unionByName(carried, allowMissingColumns=True)
+    return both.withColumn("prev_flag", prev).filter(~F.col("carried")).drop("carried")
 
 
 def account_last_seen(history: DataFrame, devices: DataFrame, params: Params = DEFAULT) -> DataFrame:

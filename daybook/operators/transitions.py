@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.operators.history import outage_links
+from daybook.operators.presence import presence_runs, run_ends_daily
 from daybook.params import DEFAULT, Params
 
 
@@ -158,21 +159,29 @@ def optout_counts_daily(
     )
 
 
-def subscribers_net_daily(days: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Opted-in rows per day and the change from the previous listed day.
-
-    The global ``lag`` runs after aggregation, on one row per day.
-    """
-    stock = (
+def stock_daily(days: DataFrame) -> DataFrame:
+    """Opted-in rows per day (``stock_day``, ``stock``); days without one are not listed."""
+    return (
         days.filter(F.col("n_true") > 0)
         .groupBy(F.col("partition_date").alias("stock_day"))
         .agg(F.coalesce(F.sum(F.when(F.col("account_id").isNotNull(), F.col("n_true"))), F.lit(0)).alias("stock"))
     )
+
+
+def subscribers_net_daily(days: DataFrame, params: Params = DEFAULT, before: DataFrame | None = None) -> DataFrame:
+    """Opted-in rows per day and the change from the previous listed day.
+
+    The global ``lag`` runs after aggregation, on one row per day.  Where ``days`` starts within the history, ``before``
+    is the last listed day before it, as ``stock_daily`` gives it.
+    """
+    stock = stock_daily(days).withColumn("carried", F.lit(False))
+    if before is not None:
+        stock = stock.unionByName(before.select("stock_day", "stock").withColumn("carried", F.lit(True)))
     prev = F.lag("stock").over(Window.orderBy("stock_day"))
-    return stock.select(
+    return stock.withColumn("prev", prev).filter(~F.col("carried")).select(
         "stock_day",
         F.when(F.col("stock_day") == F.lit(params.seed_day), F.col("stock"))
-        .otherwise(F.col("stock") - prev)
+        .otherwise(F.col("stock") - F.col("prev"))
         .alias("subscribers"),
     )
 
@@ -247,30 +256,8 @@ def kept_days(calendar: DataFrame, params: Params = DEFAULT) -> DataFrame:
 def delink_daily(calendar: DataFrame, days: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Accounts present on a kept calendar day and absent on the next kept day.
 
-    Equivalent to the calendar x accounts expansion with a ``lag``, but costs
-    one pass over the presence rows.  The successor of each kept day comes
-    from a ``lead`` over the calendar (one row per day, so broadcast).  Each
-    presence row emits itself and a marker "wanted on the successor day";
-    one aggregate on (account, day) then finds markers with no presence.
+    Equivalent to the calendar x accounts expansion with a ``lag``, but costs one pass over the presence rows: they
+    become runs of consecutive kept days (``presence``), and a delink is the day after a run's end.
     """
     kept = kept_days(calendar, params).select("cal_date")
-    succ = kept.select("cal_date", F.lead("cal_date").over(Window.orderBy("cal_date")).alias("next_date"))
-    # a null account is never the same account on another day
-    presence = days.filter(F.col("account_id").isNotNull()).select("account_id", "partition_date")
-    marks = presence.join(F.broadcast(succ), presence.partition_date == succ.cal_date, "left").select(
-        "account_id",
-        F.explode(
-            F.array(
-                F.struct(F.col("partition_date").alias("day"), F.lit(1).alias("present")),
-                F.struct(F.col("next_date").alias("day"), F.lit(0).alias("present")),
-            )
-        ).alias("m"),
-    )
-    marks = marks.select("account_id", "m.day", "m.present").filter(F.col("day").isNotNull())
-    state = marks.groupBy("account_id", "day").agg(F.max("present").alias("present"))
-    counts = state.filter(F.col("present") == 0).groupBy(F.col("day").alias("next_date")).agg(
-        F.count(F.lit(1)).alias("delinks")
-    )
-    return kept.join(F.broadcast(counts), kept.cal_date == counts.next_date, "left").select(
-        F.col("cal_date").alias("delink_date"), "delinks"
-    )
+    return run_ends_daily(presence_runs(days, kept), kept)

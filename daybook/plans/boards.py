@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.functions.timeutil import day_epoch_ms, month_name
+from daybook.functions.timeutil import day_epoch_ms, day_from_int, month_name
 from daybook.operators import cohort, engagement, history, transitions
 from daybook.operators.spine import spine_join
+from daybook.operators.state import StateStore
 from daybook.params import DEFAULT, Params
 from daybook.session import checkpointed
+from daybook.sources.snapshots import snapshot_range
 
 
 @dataclass
@@ -58,6 +60,10 @@ class History:
     row per (account, snapshot day) and per (account, device).
     """
 
+    #: of a range: the stock of the last listed day before it, and its first and last day
+    stock_before: DataFrame | None = None
+    within: tuple[Column, Column] | None = None
+
     def __init__(self, src, params: Params = DEFAULT, keep: bool = True):
         days = history.history_days(history.history_normalise(src.pref_history, src.devices, params), params)
         links = history.explode_links(src.pref_current, src.devices, params, keep=("account_id", "pref_flag"))
@@ -65,14 +71,35 @@ class History:
         self.days, self.links = (checkpointed(days), checkpointed(links)) if keep else (days, links)
 
 
+class RangeHistory(History):
+    """The day grain of the snapshot days ``first_day`` to ``last_day`` (yyyymmdd), and the current links.
+
+    ``states`` holds what the days before come to, stored under ``since``; only the range's partitions are read.
+    """
+
+    def __init__(self, src, params: Params, first_day: int, last_day: int, states: StateStore, since: int, keep: bool = True):
+        norm = history.history_normalise(snapshot_range(src.pref_history, first_day, last_day), src.devices, params)
+        days = history.history_days(norm, params, states.read("history", since))
+        links = history.explode_links(src.pref_current, src.devices, params, keep=("account_id", "pref_flag"))
+        links = links.select("account_id", "pref_flag", "device_id", "linked_ms")
+        self.days, self.links = (checkpointed(days), checkpointed(links)) if keep else (days, links)
+        self.stock_before = states.read("stock", since)
+        self.within = (day_from_int(F.lit(first_day)), day_from_int(F.lit(last_day)))
+
+
 def optout_board(src, params: Params = DEFAULT, calendar: DataFrame | None = None, hist: History | None = None) -> DataFrame:
-    """Calendar with strict opt-outs (all / attributed / campaign) and net subscribers."""
+    """Calendar with strict opt-outs (all / attributed / campaign) and net subscribers.
+
+    With a ``RangeHistory`` it has the calendar days of that range, as the board over all days shows them.
+    """
     h = hist or History(src, params)
     cal = calendar if calendar is not None else history.calendar_of(h.links, params)
+    if h.within is not None:
+        cal = cal.filter(F.col("cal_date").between(*h.within))
     counts = transitions.optout_counts_daily(
         h.days, src.pref_latest, _flat_or_log(src, "opted_out"), _flat_or_log(src, "sent"), params, getattr(src, "messages", None)
     )
-    return spine_join(cal, [(counts, "partition_date"), (transitions.subscribers_net_daily(h.days, params), "stock_day")])
+    return spine_join(cal, [(counts, "partition_date"), (transitions.subscribers_net_daily(h.days, params, h.stock_before), "stock_day")])
 
 
 #: event -> (day, first events only, total column, type suffix, topic suffix, total block, type block, topic block)

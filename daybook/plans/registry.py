@@ -7,18 +7,27 @@ tables in ``sf_dir`` and runs one operator on them, over whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.operators import audience, cohort, engagement, history, revenue, transitions
+from daybook.functions.timeutil import local_day_ms
+from daybook.operators import audience, cohort, distinct_days, engagement, history, presence, revenue, transitions
+from daybook.operators.first_state import FirstEvents
+from daybook.operators.state import StateStore
 from daybook.params import DEFAULT
 from daybook.plans import boards
 from daybook.plans.oracle import Oracle
+from daybook.session import new_path
 from daybook.sources.fixtures import Fixtures
+from daybook.sources.snapshots import snapshot_range
+from daybook.sources.stored import StoredFixtures
 
 P = DEFAULT
 O = Oracle(P)
+#: A range of snapshot days.
+RANGE = (date(2024, 1, 10), date(2024, 1, 19))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -112,6 +121,45 @@ def q_activations_daily(spark, d):
     return engagement.activations_daily(_links(fixtures(spark, d)), P)
 
 
+@register("activations_bitmaps", O.activations_daily())
+def q_activations_bitmaps(spark, d):
+    """The counts of activations_daily from bitmaps that are kept per day: the early days', then the later days' merged in."""
+    links = _links(fixtures(spark, d)).select("device_id", local_day_ms("linked_ms", P.local_tz).alias("activation_date"))
+    early = F.col("activation_date") < F.lit(RANGE[0])
+    kept, path = [], new_path(spark, "bitmaps")
+    for k, rows in enumerate((links.where(early), links.where(~early))):
+        distinct_days.daily_bitmaps(rows, "activation_date", "device_id").write.parquet(f"{path}/{k}")
+        kept.append(spark.read.parquet(f"{path}/{k}"))
+    return distinct_days.distinct_daily(
+        distinct_days.merge_bitmaps(*kept, "activation_date"), "activation_date", "device_activations"
+    )
+
+
+@register("opens_first_state", O.opens_first_daily())
+def q_opens_first_state(spark, d):
+    """The counts of opens_first_daily from stored first events: the later days first, then the earlier ones as late rows."""
+    log = engagement.log_since(fixtures(spark, d).opened, P).select("campaign_id", "message_id", "t_us", "partition_day")
+    late = F.col("partition_day") < int(RANGE[0].strftime("%Y%m%d"))
+    first = FirstEvents(spark, new_path(spark, "first_events"))
+    first.create(log.where(~late))
+    first.arrive(log.where(late))
+    return first.opens_daily(P)
+
+
+@register("presence_runs", O.presence_runs())
+def q_presence_runs(spark, d):
+    """Runs of kept days: those of the range's days merged into those of the days before and after."""
+    fx = fixtures(spark, d)
+    cal = history.calendar_from_links(fx.pref_current, fx.devices, P)
+    kept, days = transitions.kept_days(cal, P).select("cal_date"), _days(fx)
+    inside = F.col("partition_date").between(F.lit(RANGE[0]), F.lit(RANGE[1]))
+    runs = presence.merge_runs(presence.presence_runs(days.where(~inside), kept), presence.presence_runs(days.where(inside), kept))
+    places = presence.numbered(kept)
+    first = places.select(F.col("place").alias("first_place"), F.col("day").alias("first_day"))
+    last = places.select(F.col("place").alias("last_place"), F.col("day").alias("last_day"))
+    return runs.join(first, "first_place").join(last, "last_place").select("account_id", "first_day", "last_day")
+
+
 @register("linked_accounts_daily", O.linked_accounts_daily())
 def q_linked_accounts_daily(spark, d):
     return engagement.linked_accounts_daily(_links(fixtures(spark, d)), P)
@@ -228,6 +276,31 @@ def q_optout_board(spark, d):
     return boards.optout_board(fixtures(spark, d), P)
 
 
+def _range_inputs(spark, d) -> tuple[StoredFixtures, StateStore, tuple[int, int, int]]:
+    """Stored snapshots, and the states of the days before the range, stored in turn."""
+    fx = StoredFixtures(spark, d, P)
+    first, last = (int(x.strftime("%Y%m%d")) for x in RANGE)
+    since = int((RANGE[0] - timedelta(days=1)).strftime("%Y%m%d"))
+    states = StateStore(spark, new_path(spark, "history_states"))
+    old = snapshot_range(fx.pref_history, 0, since)
+    states.save(since, history.history_days(history.history_normalise(old, fx.devices, P), P))
+    return fx, states, (first, last, since)
+
+
+@register("history_range", O.history_range(*RANGE))
+def q_history_range(spark, d):
+    fx, states, (first, last, since) = _range_inputs(spark, d)
+    norm = history.history_normalise(snapshot_range(fx.pref_history, first, last), fx.devices, P)
+    days = history.history_days(norm, P, states.read("history", since))
+    return days.select("account_id", "partition_date", "prev_flag", "pref_flag", "n_rows")
+
+
+@register("optout_board_range", O.optout_board_range(*RANGE))
+def q_optout_board_range(spark, d):
+    fx, states, days = _range_inputs(spark, d)
+    return boards.optout_board(fx, P, hist=boards.RangeHistory(fx, P, days[0], days[1], states, days[2]))
+
+
 @register("lifecycle_board", O.lifecycle_board())
 def q_lifecycle_board(spark, d):
     return boards.lifecycle_board(fixtures(spark, d), P)
