@@ -1,8 +1,8 @@
 """Filter interactions, audited on a sparse document-term matrix.
 
 Matrix.  One pass over the texts makes blocks of documents: each block has a vocabulary of its own and its documents
-as rows of a CSR matrix over it.  The blocks' vocabularies meet in one global dictionary with dense word
-ids, and each block gets the ids of its words back, so only a block's distinct words are shuffled, never
+as rows of a CSR matrix over it.  The blocks' vocabularies meet in one global dictionary, partitioned by word, that gives
+each word its id, and each block gets the ids of its words back, so only a block's distinct words are shuffled, never
 its tokens.  ``Matrix.shards`` are the CSR shards over the global ids.
 
 Flags.  A and B come from the matrix: a row's sum is its number of words, its stored entries are its distinct words.
@@ -24,26 +24,30 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.llm.common import cut, hot_join
 
 FILTERS = "ABCDE"
 #: Tokens after which a block of documents closes.
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 23
+#: Low bits of a word id: the word's rank in its partition of the dictionary.
+RANK_BITS = 40
 _SYMBOL = re.compile(rb"[#$%&*|]")
 
 
 @dataclass
 class Matrix:
-    """``dictionary``: (word binary, word_id long), ids dense from 0.
+    """``dictionary``: (word binary, word_id long), ids unique, with the word's partition in the high bits.
 
     ``shards``: one row per block: shard, ids, parts, digests, marks (per document), and the CSR arrays as little-endian bytes:
     indptr (int64), indices (int64 word ids, ascending in a row), data (int32 counts).
@@ -53,8 +57,8 @@ class Matrix:
     shards: DataFrame
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+def _packed(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(raw: bytes, n: int, kind: str) -> np.ndarray:
@@ -71,62 +75,106 @@ def _blocks(id_type: pa.DataType):
     """Documents (id, part, text) to blocks with a vocabulary of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab: dict[bytes, int] = {}
-        ids, parts, digests, marks, columns, counts, ends, held = [], [], [], [], [], [], [0], 0
+        def empty() -> tuple:
+            vocab: defaultdict[bytes, int] = defaultdict()
+            vocab.default_factory = vocab.__len__  # a new word gets the next number
+            return vocab, [], [], [], [], [], [], [0], 0
+
+        vocab, ids, parts, digests, marks, columns, counts, ends, held = empty()
 
         def out() -> pa.RecordBatch:
             local, data = (np.concatenate([np.zeros(0, dtype="<u4"), *x]) for x in (columns, counts))
+            blobs = [_packed(x) for x in (np.array(ends, dtype="<i8").tobytes(), local.tobytes(), data.tobytes())]
+            words = b"\n".join(vocab)
             row = [
                 pa.array([ids], pa.list_(id_type)),
                 pa.array([parts], pa.list_(pa.string())),
                 pa.array([digests], pa.list_(pa.binary())),
                 pa.array([marks], pa.list_(pa.int32())),
-                pa.array([_packed(np.array(ends, dtype="<i8"))], pa.binary()),
-                pa.array([len(local)], pa.int64()),
-                pa.array([_packed(local)], pa.binary()),
-                pa.array([_packed(data)], pa.binary()),
-                pa.array([list(vocab)], pa.list_(pa.binary())),
+                *[pa.array([n], pa.int64()) for n in (len(local), len(vocab), len(words))],
+                *[pa.array([x], pa.binary()) for x in (*blobs, _packed(words))],
             ]
-            return pa.RecordBatch.from_arrays(row, names=["ids", "parts", "digests", "marks", "ends", "nnz", "local", "data", "vocab"])
+            return pa.RecordBatch.from_arrays(
+                row, names=["ids", "parts", "digests", "marks", "nnz", "n_vocab", "vocab_bytes", "ends", "local", "data", "vocab"]
+            )
 
         for b in batches:
             for k in range(0, b.num_rows, 200):
                 for id_, part, text in zip(*(c.to_pylist() for c in b.slice(k, 200).columns)):
                     raw = text.encode("utf-8", "surrogatepass")
-                    words = raw.split()
-                    col, c = np.unique(
-                        np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), dtype="<u4", count=len(words)), return_counts=True
-                    )
+                    own = Counter(raw.split())
+                    n = len(own)
                     big, points = capitals(raw)
                     ids.append(id_)
                     parts.append(part)
                     digests.append(hashlib.sha256(raw).digest())
                     marks.append((100 * big > 10 * points) + 2 * bool(_SYMBOL.search(raw)))
-                    columns.append(col)
-                    counts.append(c.astype("<u4"))
-                    ends.append(ends[-1] + len(col))
-                    held += len(words)
+                    columns.append(np.fromiter(map(vocab.__getitem__, own), dtype="<u4", count=n))
+                    counts.append(np.fromiter(own.values(), dtype="<u4", count=n))
+                    ends.append(ends[-1] + n)
+                    held += own.total()
                     if held >= BLOCK_TOKENS:
                         yield out()
-                        vocab = {}
-                        ids, parts, digests, marks, columns, counts, ends, held = [], [], [], [], [], [], [0], 0
+                        vocab, ids, parts, digests, marks, columns, counts, ends, held = empty()
         if ids:
             yield out()
 
     return run
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, pos, word) of the blocks' vocabularies; words hold no white space, so a line break parts them."""
+    for b in batches:
+        for shard, n, size, raw in zip(*(b.column(c).to_pylist() for c in ("shard", "n_vocab", "vocab_bytes", "vocab"))):
+            words = pa.array(pa.decompress(raw, size, codec="zstd", asbytes=True).split(b"\n"), pa.binary()) if n else ()
+            for k in range(0, n, 100_000):
+                part = words.slice(k, 100_000)
+                pos = pa.array(np.arange(k, k + len(part)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard)), pos, part], names=["shard", "pos", "word"])
+
+
+def _numbered(with_words: bool):
+    """Sorted words of one partition to ids: the partition in the high bits, the word's rank in the low ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        high, rank, last = TaskContext.get().partitionId() << RANK_BITS, -1, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            word = b.column("word")
+            new = np.ones(b.num_rows, dtype=bool)
+            new[1:] = pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)
+            new[0] = word[0].as_py() != last
+            at = rank + np.cumsum(new)
+            rank, last = int(at[-1]), word[-1].as_py()
+            ids = pa.array(high + at)
+            if with_words:
+                keep = pa.array(new)
+                yield pa.RecordBatch.from_arrays([word.filter(keep), ids.filter(keep)], names=["word", "word_id"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("pos"), ids], names=["shard", "pos", "word_id"])
+
+    return run
+
+
 def _to_global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block's columns become global word ids, ascending in each row."""
     for b in batches:
         for k in range(b.num_rows):
             part = b.slice(k, 1)
-            nnz, local, data, ends, words = (part.column(c)[0].as_py() for c in ("nnz", "local", "data", "ends", "words"))
-            indptr = _unpacked(ends, len(part.column("ids")[0]) + 1, "<i8")
-            indices = np.array(words, dtype="<i8")[_unpacked(local, nnz, "<u4")] if nnz else np.zeros(0, dtype="<i8")
-            order = np.lexsort((indices, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
+            nnz, local, data, ends = (part.column(c)[0].as_py() for c in ("nnz", "local", "data", "ends"))
+            words = part.column("words")[0].values
+            rows = len(part.column("ids")[0])
+            indptr, local, data = (_unpacked(*x) for x in ((ends, rows + 1, "<i8"), (local, nnz, "<u4"), (data, nnz, "<u4")))
+            indices = words.to_numpy()[local] if nnz else np.zeros(0, dtype="<i8")
+            # one word's place among the block's words in id order, and the row, in one number
+            place = np.empty(len(words) + 1, dtype=np.int64)
+            place[np.argsort(words.to_numpy())] = np.arange(len(words))
+            order = np.argsort(np.repeat(np.arange(rows), np.diff(indptr)) * (len(words) + 1) + place[local])
             cols = [part.column(c) for c in ("shard", "ids", "parts", "digests", "marks")]
-            csr = (indptr.tobytes(), indices[order].tobytes(), _unpacked(data, nnz, "<u4")[order].astype("<i4").tobytes())
+            csr = (indptr.tobytes(), indices[order].astype("<i8").tobytes(), data[order].astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [*cols, *[pa.array([x], pa.binary()) for x in csr]],
                 names=["shard", "ids", "parts", "digests", "marks", "indptr", "indices", "data"],
@@ -144,23 +192,20 @@ def term_matrix(docs: DataFrame, id_col: str = "doc_id", part_col: str = "lang",
     from pyspark.sql.pandas.types import to_arrow_type
 
     each = f"ids array<{kind}>, parts array<string>, digests array<binary>, marks array<int>"
+    packed = "nnz long, n_vocab long, vocab_bytes long, ends binary, local binary, data binary, vocab binary"
     blocks = cut(
-        src.mapInArrow(
-            _blocks(to_arrow_type(src.schema["id"].dataType)), f"{each}, ends binary, nnz long, local binary, data binary, vocab array<binary>"
-        ).withColumn("shard", F.monotonically_increasing_id())
-    )
-    vocab = blocks.select("shard", F.posexplode("vocab").alias("pos", "word"))
-    words = cut(vocab.select("word").distinct().withColumn("at", F.monotonically_increasing_id()))
-    # dense ids: the words before a partition, one row per partition
-    places = words.groupBy(F.shiftright("at", 33).alias("p")).count()
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    begins = places.select("p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("begin"))
-    dictionary = words.withColumn("p", F.shiftright("at", 33)).join(F.broadcast(begins), "p").select(
-        "word", (F.col("begin") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("word_id")
+        src.mapInArrow(_blocks(to_arrow_type(src.schema["id"].dataType)), f"{each}, {packed}").withColumn(
+            "shard", F.monotonically_increasing_id()
+        )
     )
+    listed = blocks.select("shard", "n_vocab", "vocab_bytes", "vocab").mapInArrow(_listed, "shard long, pos int, word binary")
+    # a stated number of partitions is not changed at run time, and words are sorted, so an id is the same in every run
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_word = listed.repartition(parts, "word").sortWithinPartitions("word")
+    dictionary = by_word.mapInArrow(_numbered(True), "word binary, word_id long")
     # a block's words, in the order of its vocabulary; as many as a block has at most
     named = (
-        vocab.join(dictionary, "word")
+        by_word.mapInArrow(_numbered(False), "shard long, pos int, word_id long")
         .groupBy("shard")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "word_id"))).alias("w"))
         .select("shard", F.col("w.word_id").alias("words"))
