@@ -53,7 +53,8 @@ def _turn(role: Column, text: Column) -> Column:
 def _parsed(turn: Column) -> Column:
     """The (role, text) of one turn without its end marker."""
     # a role is a run of plain characters and escapes; what follows its colon is the text
-    head = F.regexp_extract(turn, r"(?s)^### ((?:[^\\:]|\\.)*): ", 1)
+    # (possessive: the matcher neither goes back nor nests, however long the role)
+    head = F.regexp_extract(turn, r"(?s)^### ((?:[^\\:]++|\\.)*+): ", 1)
     return F.struct(
         _unescape(head).alias("role"),
         _unescape(F.substr(turn, F.length(head) + len(HEAD) + 3)).alias("text"),
@@ -121,12 +122,17 @@ def parse_turns(formatted: Column) -> Column:
     return F.transform(F.slice(parts, 1, F.size(parts) - 1), _parsed)
 
 
+def masked(formatted: DataFrame) -> Column:
+    """The text under the loss mask: what ``loss_spans`` cut out of the formatted text, unescaped, in order."""
+    cuts = F.transform("loss_spans", lambda p: _unescape(F.substr(F.col("formatted"), p["start"] + 1, p["length"])))
+    return F.array_join(cuts, "")
+
+
 def digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """What the formatted text alone gives back: turns, their hash, and the text under the loss mask."""
+    """What the formatted text and its mask alone give back: turns, their hash, and the text under the mask."""
     turns = parse_turns(F.col("formatted"))
     both = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    masked = F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"])
-    return formatted.withColumn("turns", turns).withColumn("loss", F.array_join(masked, "")).select(
+    return formatted.withColumn("turns", turns).withColumn("loss", masked(formatted)).select(
         id_col,
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(both, 256).alias("turns_sha256"),
