@@ -1,23 +1,28 @@
 """Token ids of whole texts with the ``tokenizers`` library, cached by word.
 
-The tokenizer's byte-level pre-tokenizer never joins characters across a lone
-space that stands between two non-space characters, except that this space
-starts the next piece.  So the ids of such a text are the ids of its first
-word followed by those of ``" " + word``; a bounded cache keeps them.  Texts
-where a word is empty or touches other white space are encoded as they are.
+The byte-level pre-tokenizer cuts a text into pieces that the model encodes one by one.  A space, or a line break, between
+two characters that are not white space starts a piece of its own or is the first character of the next one, and
+no piece reaches across it.  So the ids of a text are those of its words one after another, where a word after a space stands
+with that space and a word after a line break with that break; a bounded cache keeps them.  A word of
+letters, with full stops and commas after it or none, is one piece (the word) and at most one more (its end), and goes to the
+library's model as such; all other words go through the whole tokenizer.  Texts where white space stands otherwise,
+texts that hold an added token of the tokenizer, and all texts of other kinds of tokenizers are encoded as they are.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import filterfalse, islice
+from itertools import islice
+from struct import pack
 
 import numpy as np
 
 #: Words a worker keeps (about 200 bytes each); beyond it the later half goes, as common words come early.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 600_000
 WHOLE_AT_A_TIME = 4000
 DEFAULT_FILE = "byte_bpe_50k.json"
+#: Letters below this are the same in every version of Unicode's tables.
+_SAFE = "\u0250"
 
 
 def tokenizer_path(name: str = DEFAULT_FILE) -> str:
@@ -26,6 +31,18 @@ def tokenizer_path(name: str = DEFAULT_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+class _Words(dict):
+    """Word (or line break and word) -> id bytes, made when first asked for."""
+
+    def __init__(self, enc: "WordEncoder") -> None:
+        super().__init__()
+        self.enc = enc
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = self.enc.word(word)
+        return out
+
+
 class WordEncoder:
     """ids as little-endian unsigned bytes of type ``kind``, 16 bits where the vocabulary allows it; one per Python worker."""
 
@@ -33,16 +50,27 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-        # byte-level vocabularies write the space byte as U+0120
-        vocab = self.tok.get_vocab()
-        self.starts = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
-        self.starts[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        pre, self.model = self.tok.pre_tokenizer, self.tok.model
+        self.by_word = (
+            isinstance(pre, pre_tokenizers.ByteLevel)
+            and pre.use_regex
+            and not pre.add_prefix_space
+            and self.tok.normalizer is None
+            and isinstance(self.model, models.BPE)
+        )
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.space = self._shown(" ")
+        self.layout = "H" if self.kind.itemsize == 2 else "I"
+        # the model's character of each byte, as far as safe letters have it
+        self.shown = {b: self._shown(c)[k] for c in map(chr, range(0x80, ord(_SAFE))) for k, b in enumerate(c.encode())}
+        self.line = self.whole(["\n"])[0]
+        self.ends: dict[str, bytes] = {}
+        self.words = _Words(self)
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
@@ -50,6 +78,10 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _shown(self, text: str) -> str:
+        """A text's bytes as the model's characters."""
+        return self.as_bytes.pre_tokenize_str(text)[0][0]
+
     def whole(self, texts: list[str]) -> list[bytes]:
         # a few thousand at a time: the library's result objects are far larger than the ids
         return [
@@ -58,50 +90,47 @@ class WordEncoder:
             for e in self.tok.encode_batch_fast(texts[k : k + WHOLE_AT_A_TIME], add_special_tokens=False)
         ]
 
-    def spaced(self, words: list[str]) -> list[bytes]:
-        """The id bytes of each word with a space before it; the words hold no space and touch no white space."""
-        out: list[bytes] = []
-        for k in range(0, len(words), WHOLE_AT_A_TIME):
-            part = words[k : k + WHOLE_AT_A_TIME]
-            (e,) = self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
-            ids = np.array(e.ids, dtype=self.kind)
-            # ids that begin with the space begin a word
-            at = np.flatnonzero(self.starts[ids])
-            if len(at) != len(part) or at[0]:
-                out += self.whole([" " + w for w in part])
-                continue
-            raw, step = ids.tobytes(), self.kind.itemsize
-            cuts = [*(at * step).tolist(), len(raw)]
-            out += [raw[a:z] for a, z in zip(cuts, cuts[1:])]
-        return out
+    def word(self, word: str) -> bytes:
+        """The ids of a word after a space, or of a line break and the word after it."""
+        after_line = word[:1] == "\n"
+        body = word[1:] if after_line else word
+        core = body.rstrip(".,")
+        if not core.isalpha() or not core.isascii() and max(core) >= _SAFE:
+            return self.whole([word if after_line else f" {word}"])[0]
+        shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.shown)
+        ids = [t.id for t in self.model.tokenize(shown if after_line else self.space + shown)]
+        out = pack(f"<{len(ids)}{self.layout}", *ids)
+        if len(core) < len(body):
+            end = body[len(core) :]
+            if end not in self.ends:
+                self.ends[end] = self.whole([end])[0]
+            out += self.ends[end]
+        return self.line + out if after_line else out
 
     def end(self, token: int) -> bytes:
         return np.array([token], dtype=self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The id bytes of each text, in order."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = dict(islice(self.cache.items(), CACHE_WORDS // 2))
-        cache = self.cache
-        split = [t.split(" ") if _apart(t) else None for t in texts]
-        new: set[str] = set()
-        for words in split:
-            if words is not None:
-                new.update(filterfalse(cache.__contains__, islice(words, 1, None)))
-        if new:
-            listed = sorted(new)
-            cache.update(zip(listed, self.spaced(listed)))
+        if len(self.words) > CACHE_WORDS:
+            early = list(islice(self.words.items(), CACHE_WORDS // 2))
+            self.words = _Words(self)
+            self.words.update(early)
+        get = self.words.__getitem__
+        split = [t.replace("\n", " \n").split(" ") if self._apart(t) else None for t in texts]
         first = self.whole([words[0] if words is not None else t for words, t in zip(split, texts)])
-        get = cache.__getitem__
         return [f if words is None else f + b"".join(map(get, islice(words, 1, None))) for f, words in zip(first, split)]
 
-
-def _apart(t: str) -> bool:
-    """Whether every space of the text stands between two characters that are not white space."""
-    if "  " in t or " \n" in t or "\n " in t or t[:1].isspace() or t[-1:].isspace():
-        return False
-    # white space other than a space or a line break is not printable
-    return t.replace("\n", "").isprintable() or not any(w[:1].isspace() or w[-1:].isspace() for w in t.split(" "))
+    def _apart(self, t: str) -> bool:
+        """Whether every space, and every line break or two, stands between characters that are not white space."""
+        if not self.by_word or any(a in t for a in self.added):
+            return False
+        if "  " in t or " \n" in t or "\n " in t or "\n\n\n" in t or t[:1].isspace() or t[-1:].isspace():
+            return False
+        # white space other than a space or a line break is not printable
+        if t.replace("\n", "").isprintable():
+            return True
+        return not any(w[:1].isspace() or w[-1:].isspace() for line in t.split("\n") for w in line.split(" ") if w)
 
 
 def as_u4(ids: bytes, kind: np.dtype) -> bytes:
