@@ -9,6 +9,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daybook.session import checkpointed, shared_folder
 
 _shipped: set[str] = set()
 
@@ -27,16 +28,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; a folder of our own only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="daybook-checkpoint-"))
+    """Use the shared folder that the session names; a folder of our own only in local tests without one."""
+    shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder: the lineage ends there and a lost executor loses nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpointed(df)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

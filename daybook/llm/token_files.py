@@ -1,15 +1,14 @@
 """Token ids in binary shard files with a minimal perfect hash index.
 
-File format, one file per shard, integers little-endian:
+File format: a file holds one shard or several, each followed by a newline; integers are little-endian:
 
-    8 bytes   magic ``DBTOKEN1``
-    7 x u64   shard number, documents, distinct keys, ids, displacement buckets, seed, bytes of an id
+    8 bytes   magic ``DBTOKEN2``
+    8 x u64   shard number, documents, distinct keys, ids, displacement buckets, seed, bytes of an id, 1 if without keys
     u32 each  displacement per bucket
     u64 each  key fingerprint per slot
     u32 each  first document per slot
     u64 each  offset in ids of each document, and the end
     u16/u32   the raw ids (16 bits where the vocabulary allows it)
-    1 byte    a newline
 
 The index is a hash-and-displace minimal perfect hash over the shard's
 distinct document keys: a key's bucket gives a displacement, both give its
@@ -18,35 +17,45 @@ reads one displacement, one slot and two offsets, whatever the shard's size.
 Rows with the same key stand together, so the slot names the first of them.
 
 Shards are ranges of the sorted keys, so ids stand in ascending key order
-across shards.  Files are written by Spark's text writer (a binary column cast
+across shards.  A shard closes after ``SHARD_IDS`` ids or when its keys begin, so its bytes are bounded; equal rows are
+dealt over several.  Files are written by Spark's text writer (a binary column cast
 to string keeps its bytes) and read by its binary-file reader, so any store
 that Spark reaches will do.
 
-Results for odd input: null keys sort first and are stored under a key of
-their own; a null or empty text is the end id alone; repeated keys keep all
-their rows, ordered by text; an empty table writes no shard and reads back
-empty; other columns are ignored.
+Directory.  ``shard_directory`` has one row per shard: its file, place in it, and first and last key.  ``lookup`` sends
+each asked key to the shards whose range holds it, reads only their files, and finds the key through
+the index there; the documents of a key that spans shards are numbered through.
+
+Results for odd input: rows with a null key sort first, stand in shards without keys and read back as null; a null or empty text
+is the end id alone; repeated keys keep all their rows, ordered by text; a key column that is not an integer type is refused;
+an empty table writes no shard and reads back empty; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daybook.llm.bpe import WordEncoder, as_u4
-from daybook.llm.common import ensure_checkpoint_dir
+from daybook.llm.common import cut
+from daybook.session import new_path
 
-MAGIC = b"DBTOKEN1"
-HEADER = len(MAGIC) + 7 * 8
+MAGIC = b"DBTOKEN2"
+FIELDS = 8
+HEADER = len(MAGIC) + FIELDS * 8
 PER_BUCKET = 4
-#: The key of rows without one.
-NULL_KEY = -(2**63)
+#: Ids after which a shard closes.
+SHARD_IDS = 1 << 25
+#: Shards that one pass of a lookup holds in every task (about 40 bytes each).
+DIRECTORY_AT_A_TIME = 1 << 20
+#: Asked keys that one task looks up in a shard.
+ASKED_AT_A_TIME = 1 << 16
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -102,9 +111,10 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, int]:
     raise RuntimeError("no perfect hash found; are the keys distinct?")
 
 
-def encode_shard(number: int, keys: list[int], ids: list[bytes], width: int) -> bytes:
-    """One shard file's bytes; keys ascend, equal keys stand together."""
-    key = np.array(keys, dtype=np.int64).view(np.uint64)
+def encode_shard(number: int, keys: list[int | None], ids: list[bytes], width: int) -> bytes:
+    """One shard's bytes; keys ascend, equal keys stand together, and either all are null or none is."""
+    keyless = keys[0] is None
+    key = np.zeros(len(keys), dtype=np.uint64) if keyless else np.array(keys, dtype=np.int64).view(np.uint64)
     new = np.concatenate([[True], key[1:] != key[:-1]])
     first = np.flatnonzero(new)
     distinct = key[first]
@@ -115,121 +125,245 @@ def encode_shard(number: int, keys: list[int], ids: list[bytes], width: int) ->
     firsts[slot] = first
     sizes = np.fromiter((len(x) // width for x in ids), dtype=np.int64, count=len(ids))
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
-    head = np.array([number, len(ids), len(distinct), offsets[-1], len(displacement), seed, width], dtype="<u8")
+    head = np.array([number, len(ids), len(distinct), offsets[-1], len(displacement), seed, width, keyless], dtype="<u8")
     return b"".join(
         [MAGIC, head.tobytes(), displacement.astype("<u4").tobytes(), prints.tobytes(), firsts.tobytes(), offsets.tobytes(), *ids]
     )
 
 
 class Shard:
-    """Keyed access to one shard file's bytes."""
+    """Keyed access to one shard, which begins at a place of the given bytes."""
 
-    def __init__(self, data: bytes) -> None:
-        if data[: len(MAGIC)] != MAGIC:
+    def __init__(self, data: bytes, at: int = 0) -> None:
+        if data[at : at + len(MAGIC)] != MAGIC:
             raise ValueError("not a token shard")
-        head = np.frombuffer(data, "<u8", 7, len(MAGIC))
-        self.number, self.docs, self.n, self.n_ids, self.buckets, self.seed, width = (int(x) for x in head)
-        at = HEADER
+        head = np.frombuffer(data, "<u8", FIELDS, at + len(MAGIC))
+        self.number, self.docs, self.n, self.n_ids, self.buckets, self.seed, width, keyless = (int(x) for x in head)
+        self.keyless = bool(keyless)
+        at += HEADER
         parts = []
         for kind, n in (("<u4", self.buckets), ("<u8", self.n), ("<u4", self.n), ("<u8", self.docs + 1), (f"<u{width}", self.n_ids)):
+            if len(data) < at + n * np.dtype(kind).itemsize:
+                raise ValueError("a token shard shorter than its header says")
             parts.append(np.frombuffer(data, kind, n, at))
             at += parts[-1].nbytes
-        if len(data) != at + 1:
-            raise ValueError("a token shard of another length than its header says")
+        self.stop = at
         self.displacement, self.prints, self.firsts, self.offsets, self.ids = parts
+        self.starts: np.ndarray | None = None
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Per int64 key its first document in the shard, or -1."""
         k = np.asarray(keys, dtype=np.int64).view(np.uint64)
-        if not self.n:
+        if not self.n or self.keyless:
             return np.full(len(k), -1)
         s = _slots(k, self.displacement, self.buckets, self.n, self.seed)
         return np.where(self.prints[s] == k, self.firsts[s].astype(np.int64), -1)
 
-    def get(self, key: int, nth: int = 0) -> np.ndarray | None:
-        """The ids of the nth document stored under the key."""
+    def in_order(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys, first document, documents), ascending."""
+        keys = np.sort(self.prints.view(np.int64))
+        first = np.zeros(1, dtype=np.int64) if self.keyless else self.find(keys)
+        return keys, first, np.diff(np.concatenate([first, [self.docs]]))
+
+    def stored(self, key: int) -> range:
+        """The shard's documents under the key: from its index to where the next key's begin."""
         d = int(self.find(np.array([key]))[0])
-        if d < 0 or d + nth >= self.docs:
-            return None
-        return self.ids[int(self.offsets[d + nth]) : int(self.offsets[d + nth + 1])]
+        if d < 0:
+            return range(0)
+        if self.starts is None:
+            self.starts = np.sort(self.firsts)
+        later = int(np.searchsorted(self.starts, d, "right"))
+        return range(d, int(self.starts[later]) if later < self.n else self.docs)
+
+    def ids_of(self, document: int) -> np.ndarray:
+        return self.ids[int(self.offsets[document]) : int(self.offsets[document + 1])]
+
+    def get(self, key: int, nth: int = 0) -> np.ndarray | None:
+        """The ids of the nth document stored here under the key, None beyond them."""
+        own = self.stored(key)
+        return self.ids_of(own[nth]) if 0 <= nth < len(own) else None
+
+
+def shards_of(data: bytes) -> Iterator[tuple[int, Shard]]:
+    """(place, shard) of a file's shards."""
+    at = 0
+    while at < len(data):
+        s = Shard(data, at)
+        yield at, s
+        at = s.stop + 1
 
 
 def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2
 ) -> None:
-    """Write one shard file per range of keys below ``path``."""
+    """Write shard files of ranges of keys below ``path``."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise ValueError(f"keys are integers; {id_col} is {kind.simpleString()}")
     src = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("key"),
+        F.col(id_col).cast("long").alias("key"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    most = SHARD_IDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, keys, ids = WordEncoder.of(tokenizer), [], []
-        end = enc.end(end_id)
+        enc, keys, ids, held, made = WordEncoder.of(tokenizer), [], [], 0, 0
+        end, width = enc.end(end_id), enc.kind.itemsize
+
+        def out() -> pa.RecordBatch:
+            number = (TaskContext.get().partitionId() << 24) + made
+            return pa.RecordBatch.from_arrays([pa.array([encode_shard(number, keys, ids, width)], pa.binary())], names=["value"])
+
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
-                keys += part.column(0).to_pylist()
-                ids += [x + end for x in enc.encode(part.column(1).to_pylist())]
+                for key, x in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
+                    if keys and (held >= most * width or (keys[-1] is None) != (key is None)):
+                        yield out()
+                        keys, ids, held, made = [], [], 0, made + 1
+                    keys.append(key)
+                    ids.append(x + end)
+                    held += len(x) + width
         if keys:
-            data = encode_shard(TaskContext.get().partitionId(), keys, ids, enc.kind.itemsize)
-            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["value"])
+            yield out()
 
-    # equal keys with equal texts may be cut apart by a range; the hash spreads a hot key over shards
-    ranged = src.repartitionByRange("key", F.xxhash64("t")).sortWithinPartitions("key", F.xxhash64("t"), "t")
-    ranged.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
+    # a hot key is spread by its texts, equal texts by the rows
+    ranged = src.repartitionByRange("key", F.xxhash64("t"), "row").sortWithinPartitions("key", F.xxhash64("t"), "t").select("key", "t")
+    whole = ranged.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    whole.write.option("lineSep", "\n").text(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32, nth) of every stored document, each found through its shard's index."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def shard_directory(spark: SparkSession, path: str) -> DataFrame:
+    """One row per shard: (shard, path, at, docs, n_ids, keyless, first_key, last_key, first_docs, last_docs)."""
+    names = ["shard", "path", "at", "docs", "n_ids", "keyless", "first_key", "last_key", "first_docs", "last_docs"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            heads = [np.frombuffer(c.as_py(), "<i8", 7, len(MAGIC)) for c in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([int(h[k]) for h in heads]) for k in (0, 3)], names=["shard", "n_ids"])
+            for file, content in zip(*(b.column(c) for c in ("path", "content"))):
+                rows = []
+                for at, s in shards_of(content.as_py()):
+                    keys, _, count = s.in_order()
+                    ends = int(keys[0]), int(keys[-1]), int(count[0]), int(count[-1])
+                    rows.append((s.number, file.as_py(), at, s.docs, s.n_ids, s.keyless, *ends))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+
+    kinds = "shard long, path string, at long, docs long, n_ids long, keyless boolean, first_key long, last_key long, first_docs long, last_docs long"
+    return _files(spark, path).select("path", "content").mapInArrow(run, kinds)
+
+
+def _begins(directory: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shard, begin): ids before a shard; (shard, key, before): a boundary key's documents in earlier shards."""
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
+    begins = directory.select("shard", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("begin"))
+    first = F.struct(F.col("first_key").alias("key"), F.col("first_docs").alias("n"))
+    last = F.struct(F.col("last_key").alias("key"), F.col("last_docs").alias("n"))
+    # only keys at a shard's edge can stand in several
+    edges = directory.select("shard", "keyless", F.explode(F.array_distinct(F.array(first, last))).alias("e")).select("shard", "keyless", "e.*")
+    same = Window.partitionBy("keyless", "key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return begins, edges.select("shard", "key", F.coalesce(F.sum("n").over(same), F.lit(0)).alias("before")).where("before > 0")
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(key, start, n_tokens, ids_crc32, nth) of every stored document, each found through its shard's index."""
+    names = ["shard", "keyless", "key", "local", "n_tokens", "ids_crc32", "here"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in b.column(0):
-                s = Shard(c.as_py())
-                keys = np.sort(s.prints.view(np.int64))
-                first = s.find(keys)
-                by = np.argsort(first)
-                keys, first = keys[by], first[by]
-                count = np.diff(np.concatenate([first, [s.docs]]))
-                each = np.repeat(keys, count)
-                nth = np.arange(s.docs) - np.repeat(first, count)
-                at = s.offsets.astype(np.int64)
-                crc = [zlib.crc32(as_u4(s.ids[a:z].tobytes(), s.ids.dtype)) for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
-                cols = [np.full(s.docs, s.number), each, at[:-1], np.diff(at), np.array(crc, dtype=np.int64), nth]
-                names = ["shard", "key", "local", "n_tokens", "ids_crc32", "nth"]
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], names=names)
-
-    from pyspark.sql import Window
-
-    totals = files.select(F.substring("content", 1, HEADER).alias("head")).mapInArrow(sizes, "shard long, n_ids long")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard file
-    begins = totals.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("begin"))
-    docs = files.mapInArrow(rows, "shard long, key long, local long, n_tokens long, ids_crc32 long, nth long")
-    return docs.join(begins, "shard").select(
-        F.when(F.col("key") != NULL_KEY, F.col("key")).alias("key"),
+                for _, s in shards_of(c.as_py()):
+                    keys, first, count = s.in_order()
+                    each = np.repeat(keys, count)
+                    here = np.arange(s.docs) - np.repeat(first, count)
+                    at = s.offsets.astype(np.int64)
+                    crc = [zlib.crc32(as_u4(s.ids[a:z].tobytes(), s.ids.dtype)) for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
+                    cols = [each, at[:-1], np.diff(at), np.array(crc, dtype=np.int64), here]
+                    marks = [pa.array(np.full(s.docs, s.number)), pa.array(np.full(s.docs, s.keyless))]
+                    yield pa.RecordBatch.from_arrays([*marks, *[pa.array(x.astype(np.int64)) for x in cols]], names=names)
+
+    begins, edges = _begins(cut(shard_directory(spark, path)))
+    kinds = "shard long, keyless boolean, key long, local long, n_tokens long, ids_crc32 long, here long"
+    docs = _files(spark, path).select("content").mapInArrow(rows, kinds)
+    return docs.join(begins, "shard").join(edges, ["shard", "key"], "left").select(
+        F.when(~F.col("keyless"), F.col("key")).alias("key"),
         (F.col("begin") + F.col("local")).alias("start"),
         "n_tokens",
         "ids_crc32",
-        "nth",
+        (F.col("here") + F.coalesce("before", F.lit(0))).alias("nth"),
     )
 
 
+def lookup(spark: SparkSession, path: str, asked: DataFrame, key_col: str = "key") -> DataFrame:
+    """(key, nth, ids) of every stored document under the distinct asked keys; keys that are not stored give no row.
+
+    The directory goes to the tasks in slices of ``DIRECTORY_AT_A_TIME`` shards, one slice for most tables.
+    """
+    directory = cut(shard_directory(spark, path).where("NOT keyless"))
+    _, edges = _begins(directory)
+    keys = asked.select(F.col(key_col).cast("long").alias("key")).where("key IS NOT NULL").distinct()
+    edge = directory.select("shard").orderBy("shard")
+    most, sent = DIRECTORY_AT_A_TIME, None
+    low = -1
+    while True:
+        part = [r[0] for r in edge.where(F.col("shard") > low).limit(most).collect()]
+        if not part:
+            break
+        rows = directory.where(F.col("shard").between(part[0], part[-1])).select("shard", "first_key", "last_key", "path", "at")
+        held = rows.orderBy("shard").toPandas()
+        shared = spark.sparkContext.broadcast(held)
+
+        def route(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            d = shared.value
+            firsts, lasts = d["first_key"].to_numpy(), d["last_key"].to_numpy()
+            for b in batches:
+                k = b.column(0).to_numpy()
+                # shards whose range holds the key stand together
+                start, stop = np.searchsorted(lasts, k, "left"), np.searchsorted(firsts, k, "right")
+                n = np.maximum(stop - start, 0)
+                at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                cols = [np.repeat(k, n), d["shard"].to_numpy()[at], d["at"].to_numpy()[at]]
+                paths = pa.array(d["path"].to_numpy()[at], pa.string())
+                yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int64)) for c in cols], paths], names=["key", "shard", "at", "path"])
+
+        one = keys.mapInArrow(route, "key long, shard long, at long, path string")
+        sent = one if sent is None else sent.unionByName(one)
+        low = part[-1]
+    if sent is None:
+        sent = keys.select("key", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("at"), F.lit("").alias("path")).limit(0)
+    sent = cut(sent)
+    asks = sent.groupBy("path", "shard", "at").count()
+    blocks = cut(sent.join(asks, ["path", "shard", "at"]).withColumn(
+        "block", F.pmod(F.xxhash64("key"), F.ceil(F.col("count") / ASKED_AT_A_TIME)).cast("int")
+    ).groupBy("path", "shard", "at", "block").agg(F.collect_list("key").alias("keys")))
+    paths = [r[0] for r in blocks.select("path").distinct().limit(DIRECTORY_AT_A_TIME).collect()]
+    if not paths:
+        return blocks.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("nth"), F.array().cast("array<long>").alias("ids")).limit(0)
+    files = _files(spark, paths if len(paths) < DIRECTORY_AT_A_TIME else path).select("path", "content")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, at, wanted, content in zip(*(b.column(c) for c in ("shard", "at", "keys", "content"))):
+                s = Shard(content.as_py(), at.as_py())
+                got = [(key, k, s.ids_of(d)) for key in wanted.as_py() for k, d in enumerate(s.stored(key))]
+                cols = [pa.array([number.as_py()] * len(got), pa.int64()), pa.array([g[0] for g in got], pa.int64())]
+                ids = pa.array([g[2].astype(np.int64) for g in got], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([g[1] for g in got], pa.int64()), ids], names=["shard", "key", "here", "ids"])
+
+    met = blocks.join(files, "path").mapInArrow(find, "shard long, key long, here long, ids array<long>")
+    return met.join(edges, ["shard", "key"], "left").select("key", (F.col("here") + F.coalesce("before", F.lit(0))).alias("nth"), "ids")
+
+
 def token_files(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, path: str | None = None
 ) -> DataFrame:
     """Write the files (below ``path``, or a new folder in the shared checkpoint folder) and return what they hold."""
     spark = docs.sparkSession
-    if path is None:
-        ensure_checkpoint_dir(spark)
-        path = f"{spark.sparkContext.getCheckpointDir()}/token-files-{uuid.uuid4().hex}"
+    path = path or new_path(spark, "token-files")
     write_token_files(docs, path, tokenizer, id_col, text_col, end_id)
     return read_token_files(spark, path).withColumnRenamed("key", id_col)

@@ -210,7 +210,6 @@ def token_ids(text, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.tokenizer_path())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -281,6 +280,26 @@ CONVERSATIONS = [
 ]
 
 
+def test_chat_very_long_roles_and_texts(spark):
+    role, text = "r\\:" * 33_000, "</turn> ### x: \\" * 20_000
+    df = spark.createDataFrame([(1, 0, role, text), (1, 1, "assistant", text), (2, 0, "x" * 100_000, "y")], "conv_id long, turn int, role string, text string")
+    made = chat.format_conversations(df)
+    assert all(r["round_trip"] for r in made.collect())
+    got = {r["conv_id"]: r for r in chat.digests(made).collect()}
+    assert got[1]["turns_sha256"] == hashlib.sha256(f"{role}\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+    assert got[1]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest() and got[2]["loss_chars"] == 0
+
+
+def test_chat_digest_reads_the_mask(spark):
+    """The loss digest is what the mask cuts out, so a mask that is off by one character changes it."""
+    df = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "general reply")], "conv_id long, turn int, role string, text string")
+    made = chat.format_conversations(df)
+    moved = made.withColumn("loss_spans", F.transform("loss_spans", lambda p: F.struct((p["start"] + 1).alias("start"), p["length"].alias("length"))))
+    right, wrong = chat.digests(made).first(), chat.digests(moved).first()
+    assert right["loss_sha256"] == hashlib.sha256(b"general reply").hexdigest() != wrong["loss_sha256"]
+    assert wrong["loss_sha256"] == hashlib.sha256(b"eneral reply<").hexdigest()
+
+
 def test_chat_round_trip(spark):
     df = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn int, role string, text string").withColumn("same", F.lit(1))
     made = chat.format_conversations(df)
@@ -529,13 +548,58 @@ def test_token_files_awkward(spark, docs, no_docs, tmp_path):
     # keyed access over the raw files
     import glob
 
-    shards = [token_files.Shard(open(f, "rb").read()) for f in glob.glob(f"{path}/part-*")]
+    shards = [s for f in glob.glob(f"{path}/part-*") for _, s in token_files.shards_of(open(f, "rb").read())]
     hits = [x for s in shards if (x := s.get(3)) is not None]
     assert len(hits) == 1 and hits[0].tolist() == token_ids(TEXTS[2][1], 2)
     assert all(s.get(123456789) is None for s in shards)
     assert token_files.token_files(no_docs, bpe.tokenizer_path(), path=f"{tmp_path}/none").count() == 0
 
 
+def test_get_stays_within_the_keys_rows():
+    ids = [np.array([k], dtype="<u2").tobytes() for k in range(5)]
+    s = token_files.Shard(token_files.encode_shard(0, [1, 2, 2, 2, 9], ids, 2))
+    assert s.get(1).tolist() == [0] and s.get(1, 1) is None and s.get(2, 2).tolist() == [3] and s.get(2, 3) is None
+    assert s.get(9).tolist() == [4] and s.get(9, 1) is None and s.get(3) is None and s.get(2, -1) is None
+
+
+def test_lookup_over_several_shards_with_a_hot_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARD_IDS", 300)
+    rows = [(7, f"hot text {k % 90}") for k in range(400)] + [(k, f"own text {k}") for k in range(-300, 300)]
+    rows += [(-(2**63), "the lowest id"), (None, "no id"), (None, "no id either")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    path = f"{tmp_path}/files"
+    out = token_files.token_files(df, bpe.tokenizer_path(), path=path).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in out) == sorted((r[0] is not None, r[0] or 0) for r in rows)
+    assert sorted(r["nth"] for r in out if r["doc_id"] == 7) == list(range(401))
+    assert sorted(r["nth"] for r in out if r["doc_id"] is None) == [0, 1]
+    directory = token_files.shard_directory(spark, path)
+    assert directory.where("first_key <= 7 AND last_key >= 7").count() > 3
+    asked = spark.createDataFrame([(7,), (7,), (-300,), (299,), (12345,), (-(2**63),), (None,)], "key long")
+    for slice_ in (1 << 20, 8):
+        monkeypatch.setattr(token_files, "DIRECTORY_AT_A_TIME", slice_)
+        got = token_files.lookup(spark, path, asked).collect()
+        want = Counter((k, tuple(token_ids(t, 2))) for k, t in rows if k in (7, -300, 299, -(2**63)))
+        assert Counter((r["key"], tuple(r["ids"])) for r in got) == want
+        assert sorted(r["nth"] for r in got if r["key"] == 7) == list(range(401))
+    assert token_files.lookup(spark, path, asked.where("key = 12345")).count() == 0
+    with pytest.raises(ValueError):
+        token_files.token_files(df.withColumn("doc_id", F.col("doc_id").cast("string")), bpe.tokenizer_path())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_encoder_gives_the_plain_calls_ids(seed):
+    from tokenizers import Tokenizer
+
+    enc, plain_call = bpe.WordEncoder.of(bpe.tokenizer_path()), Tokenizer.from_file(bpe.tokenizer_path())
+    rng = np.random.default_rng(seed)
+    parts = ["a", "bc", " ", " ", ".", ",", "\n", "\n\n", "'s", "1", "é", "ñandú", "Ω", "漢", "\t", "\x85", "<|endoftext|>", "%$", "\u200b", "e\u0301"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 15))) for _ in range(5000)]
+    texts += ["a <|endoftext|> b", "x.\nY, z.\n\nW", "one, two.\nThree"]
+    got = [np.frombuffer(bpe.as_u4(x, enc.kind), "<u4").tolist() for x in enc.encode(texts)]
+    assert got == [e.ids for e in plain_call.encode_batch(texts, add_special_tokens=False)]
+    assert got[5000] == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 5000])
 def test_perfect_hash(n):
     keys = np.random.default_rng(n).choice(2**40, n, replace=False).astype(np.uint64)
