@@ -17,8 +17,8 @@
    raised until ``min_recall`` of their links, themselves left out, meet in a cell.  The table
    ``audit`` gives these links and how many of them meet.
    Audit of the search: a hash share of the queries is compared with the whole shard; a shard whose recall,
-   without self hits, is below ``min_recall`` searches again with a doubled beam.  At last every query is compared
-   with the whole shard and what the search missed is added, so nothing is missed in a shard that is visited.
+   without self hits, is below ``min_recall`` searches again with a doubled beam.  What one side of a pair finds
+   holds for the other side too; nothing but the search finds pairs.
 6. Verify: links are those with cosine >= threshold in double precision.
 
 A pair is counted for the query in one shard only (the first of the found node's cells that the
@@ -486,9 +486,7 @@ def near_duplicate_vectors(
             if found >= min_recall * truth.sum() or width >= len(rid):
                 break
             width *= 2
-        for k in range(0, len(qid), 512):
-            got[k : k + 512] |= qf[k : k + 512] @ xf.T >= threshold - 1e-4
-        a, b = np.nonzero(got)
+        a, b = _either_side(got, qid, rid)
         exact = np.zeros(len(a), dtype=bool)
         for k in range(0, len(a), 1 << 16):
             exact[k : k + (1 << 16)] = np.einsum("ij,ij->i", q[a[k : k + (1 << 16)]], x[b[k : k + (1 << 16)]]) >= threshold
@@ -537,6 +535,21 @@ def near_duplicate_vectors(
     return out, audit
 
 
+def _either_side(got: np.ndarray, qid: np.ndarray, rid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of the found pairs, a pair also the other way round where its node asks here and its query is a node here."""
+    a, b = np.nonzero(got)
+    as_node, as_query = _place(rid, qid[a]), _place(qid, rid[b])
+    both = (as_node >= 0) & (as_query >= 0)
+    got[as_query[both], as_node[both]] = True
+    return np.nonzero(got)
+
+
+def _place(ascending: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted number stands, -1 where it does not."""
+    at = np.minimum(np.searchsorted(ascending, wanted), len(ascending) - 1)
+    return np.where(ascending[at] == wanted, at, -1)
+
+
 def _visits(routes: pd.Series, row: np.ndarray, cell: np.ndarray) -> np.ndarray:
     """Whether the routes of each given row hold the given cell."""
     span = max(int(cell.max(initial=0)), int(max(r.max() for r in routes))) + 1
