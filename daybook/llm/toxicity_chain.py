@@ -2,7 +2,10 @@
 
 Features: which of the selected byte 5-grams of the text (A-Z lowered, ASCII
 punctuation and white space as one space) occur in it.  Per category the
-5-grams that speak most for it are selected by chi-square.
+5-grams that speak most for it are selected by chi-square, among those in at least ``LEAST_ROWS`` of its rows.
+
+Categories: one per family of the sample's toxic rows (their language, say) with at least ``FAMILY_ROWS`` rows, however many there
+are; the toxic rows of smaller families and of none are one category together; the last is the label as a whole.
 
 Chain: categories are predicted in a fixed order.  Each category's linear
 model sees the 5-gram features and the probabilities of the earlier
@@ -33,6 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 N_GRAM = 5
+#: Rows of a category that hold a 5-gram, for it to be selected.
+LEAST_ROWS = 3
+#: Rows of a category in the sample, for it to be one of its own; smaller ones make up one category together.
+FAMILY_ROWS = 5
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[i for i in range(1, 128) if not chr(i).isalnum()]] = 32
@@ -121,8 +128,7 @@ def _select(uniq: list[np.ndarray], y: np.ndarray, top: int) -> np.ndarray:
     if not pos or not neg:
         return np.zeros(0, dtype=np.uint64)
     cand, a = np.unique(np.concatenate([u for u, t in zip(uniq, y) if t]), return_counts=True)
-    least = 2 if pos < 200 else 4
-    cand, a = cand[a >= least], a[a >= least].astype(float)
+    cand, a = cand[a >= LEAST_ROWS], a[a >= LEAST_ROWS].astype(float)
     if not len(cand):
         return cand
     c = np.zeros(len(cand))
@@ -170,7 +176,6 @@ def training_rows(
     text_col: str,
     max_per_class: int,
     max_bytes: int,
-    max_families: int,
 ) -> tuple[list[tuple[str | None, list[int]]], list[str]]:
     """A bounded labelled sample with one category per family of toxic rows (commonest first), then the label itself."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1) AND id IS NOT NULL")
@@ -188,9 +193,18 @@ def training_rows(
     for r in got:
         if r["y"] == 1:
             count[r["fam"]] = count.get(r["fam"], 0) + 1
-    families = sorted((f for f in count if f and count[f] >= 5), key=lambda f: (-count[f], f))[:max_families]
-    rows = [(r["t"], [int(r["y"] == 1 and r["fam"] == f) for f in families] + [int(r["y"])]) for r in got]
-    return rows, [f"{label_col}_{f}" for f in families] + [label_col]
+    families = sorted((f for f in count if f and count[f] >= FAMILY_ROWS), key=lambda f: (-count[f], f))
+    names = [f"{label_col}_{f}" for f in families]
+    place = {f: k for k, f in enumerate(families)}
+    if len(place) < len(count):  # rows of no family or of a small one
+        names.append(f"{label_col} other")
+    rows = []
+    for r in got:
+        y = [0] * len(names)
+        if r["y"] == 1:
+            y[place.get(r["fam"], len(names) - 1)] = 1
+        rows.append((r["t"], [*y, int(r["y"])]))
+    return rows, [*names, label_col]
 
 
 def score_toxicity(
@@ -204,7 +218,6 @@ def score_toxicity(
     threshold: float = 0.5,
     max_per_class: int = 2500,
     max_bytes: int = 32768,
-    max_families: int = 6,
 ) -> DataFrame:
     """(id_col, category_scores, score, rejected), one row per row of ``docs``.
 
@@ -213,7 +226,7 @@ def score_toxicity(
     probability is the score.
     """
     rows, categories = training_rows(
-        labelled_docs, labels, label_col, family_col, id_col, text_col, max_per_class, max_bytes, max_families
+        labelled_docs, labels, label_col, family_col, id_col, text_col, max_per_class, max_bytes
     )
     shared = docs.sparkSession.sparkContext.broadcast(fit_chain(rows, categories))
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))

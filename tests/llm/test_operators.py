@@ -72,6 +72,30 @@ def test_vectors_with_many_cells(spark, monkeypatch):
     assert np.mean([g == w for g, w in zip(got, want)]) > 0.97
 
 
+def test_links_come_through_the_graph(spark):
+    """Without edges the search reaches little beyond its starts, and nothing else finds links."""
+    rows = vector_rows()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    total = sum(w[1] for w in brute.vector_links(rows, 0.93))
+    linked = embed_graph.near_duplicate_vectors(df, shard_rows=512)[0].agg(F.sum("n_links")).first()[0]
+    empty = embed_graph.near_duplicate_vectors(df, shard_rows=512, degree=0)[0].agg(F.sum("n_links")).first()[0]
+    assert linked >= 0.99 * total and empty < 0.9 * total
+
+
+def test_range_search_needs_the_edges():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 16)).repeat(8, axis=0) + rng.normal(size=(480, 16)) * 0.08
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    f, starts = x.astype(np.float32), embed_graph._medoids(x)
+    g = embed_graph.robust_prune(x, 20, 1.2)
+    a, b = np.nonzero(g >= 0)
+    both = embed_graph._both_ways(g, a, g[a, b])
+    truth = {tuple(p) for p in np.argwhere(f @ f.T >= 0.93)}
+    got = {tuple(p) for p in zip(*(v.tolist() for v in embed_graph.range_search(f, both, f, starts, 24, 0.93, 0.05)))}
+    none = {tuple(p) for p in zip(*(v.tolist() for v in embed_graph.range_search(f, np.full_like(g, -1), f, starts, 24, 0.93, 0.05)))}
+    assert len(got & truth) >= 0.99 * len(truth) and len(none & truth) < 0.1 * len(truth)
+
+
 def test_nearest_centroids_in_pieces(monkeypatch):
     rng = np.random.default_rng(2)
     x, c = (embed_graph.unit_rows(__import__("pandas").Series(list(rng.normal(size=(n, 8))))) for n in (500, 60))
@@ -406,15 +430,56 @@ def test_toxicity_chain(spark, no_docs):
     assert not toxicity_chain.score_toxicity(df, df, labels.where("false")).where("rejected").count()
 
 
-def test_chain_uses_out_of_fold_probabilities():
-    rng = np.random.default_rng(2)
-    rows = [(" ".join(rng.choice(["aaaaa", "bbbbb", "ccccc", "ddddd"], 3)), [i % 2, i % 2]) for i in range(60)]
-    c = toxicity_chain.fit_chain(rows, ["a", "b"])
-    # labels are noise: a later model that saw in-sample probabilities would lean on them
-    assert len(c.weights[1]) == len(c.grams) + 1
+def chain_rows(n=120):
+    """Words of a row's own, so that a model can learn its training rows by heart and nothing about others."""
+    rng = np.random.default_rng(4)
+    out = []
+    for k in range(n):
+        y = int(rng.integers(2))
+        own = " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(6))
+        out.append((f"{own} {'mostly' if y and rng.random() < 0.6 else 'seldom'}", [y, int(rng.random() < 0.9) if y else int(rng.random() < 0.1)]))
+    return out
 
 
-# 7 simhash
+def test_chain_uses_out_of_fold_probabilities():
+    rows = chain_rows()
+    chain = toxicity_chain.fit_chain(rows, ["a", "b"], folds=3)
+    x = chain.features([t for t, _ in rows])
+    y = np.array([r for _, r in rows], dtype=float)
+    outside, fold = np.zeros(len(rows)), np.arange(len(rows)) % 3
+    for f in range(3):
+        w, bias = toxicity_chain._logistic(x[fold != f], y[fold != f, 0])
+        outside[fold == f] = toxicity_chain._sigmoid(x[fold == f] @ w + bias)
+    inside = chain.probabilities(x)[:, 0]
+    learned = lambda p: toxicity_chain._logistic(np.concatenate([x, p[:, None].astype(np.float32)], axis=1), y[:, 1])[0]
+    assert np.allclose(chain.weights[1], learned(outside), atol=1e-6)
+    assert not np.allclose(chain.weights[1], learned(inside), atol=1e-3)
+
+
+def test_chain_scores_equal_a_plain_form():
+    rows = chain_rows()
+    chain = toxicity_chain.fit_chain(rows, ["a", "b"])
+    known = [int(g).to_bytes(5, "big") for g in chain.grams]
+    texts = [t for t, _ in rows[:10]] + ["", None, "MOSTLY! " * 500, "é" * 9]
+    for t, got in zip(texts, chain.probabilities(chain.features(texts))):
+        raw = b" " + (t or "").encode() + b" "
+        low = bytes(c + 32 if 65 <= c <= 90 else c if c == 0 or c > 127 or chr(c).isalnum() else 32 for c in raw)
+        p = []
+        for w, bias in zip(chain.weights, chain.bias):
+            z = bias + sum(v for g, v in zip(known, w) if g in low) + sum(a * b for a, b in zip(w[len(known) :], p))
+            p.append(1 / (1 + np.exp(-z)))
+        assert np.allclose(got, p, atol=1e-5)
+
+
+def test_every_family_has_a_category(spark):
+    rows = [(k, f"bad word{k % 9} text {k}" if k % 2 else f"fine text {k}", f"l{k % 9}" if k < 180 else ("rare" if k < 184 else None), k) for k in range(190)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, extra int")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    out = toxicity_chain.score_toxicity(docs, docs, labels)
+    names = set(out.first()["category_scores"])
+    assert names == {f"toxic_l{k}" for k in range(9)} | {"toxic other", "toxic"}
+    alone = toxicity_chain.score_toxicity(docs.drop("lang"), docs.drop("lang"), labels, family_col=None)
+    assert set(alone.first()["category_scores"]) == {"toxic other", "toxic"}
 
 
 def test_simhash_awkward(docs):
