@@ -2,7 +2,7 @@
 
 Each stage calls one operator of ``daybook.llm``, takes (spark, docs, sf_dir)
 and is judged on all that its predecessor kept.  All but the last return the
-columns of documents.  ``run`` writes each stage's result as Parquet into the
+columns of documents; other columns are dropped at the first stage.  ``run`` writes each stage's result as Parquet into the
 shared checkpoint folder and reads it back as the next stage's input.
 
 Filtering stages keep every row that their operator does not reject; rows with
@@ -14,13 +14,12 @@ and different texts, belong each to the group of their own text.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm import bpe, packing, quality_cnn, simhash_ring, toxicity_chain, winnow
-from daybook.llm.common import ensure_checkpoint_dir, ship_package, table
+from daybook.llm.common import ship_package, table
+from daybook.session import new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,8 +29,9 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Operators score per row; equal (id, text) rows get equal scores, so both name a row's decision."""
-    return docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    """Operators score per row; equal (id, text) rows get equal scores, so the 128-bit hash of both names a row's decision."""
+    shown = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit("")))
+    return docs.withColumn("_key", F.md5(shown))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     keyed = _keyed(_documents(docs))
     scored = toxicity_chain.score_toxicity(
-        keyed.drop("doc_id").withColumnRenamed("_key", "doc_id"), docs, table(spark, sf_dir, "labels")
+        keyed.drop("doc_id").withColumnRenamed("_key", "doc_id"),
+        docs,
+        table(spark, sf_dir, "labels"),
+        family_col="lang" if "lang" in docs.columns else None,
     )
     out = scored.where("rejected").select(F.col("doc_id").alias("_key")).distinct()
     return keyed.join(out, "_key", "left_anti").drop("_key")
@@ -96,8 +99,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    base = new_path(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
