@@ -537,10 +537,11 @@ def near_duplicate_vectors(
 
 def _either_side(got: np.ndarray, qid: np.ndarray, rid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of the found pairs, a pair also the other way round where its node asks here and its query is a node here."""
-    a, b = np.nonzero(got)
-    as_node, as_query = _place(rid, qid[a]), _place(qid, rid[b])
-    both = (as_node >= 0) & (as_query >= 0)
-    got[as_query[both], as_node[both]] = True
+    for k in range(0, len(got), 256):
+        a, b = np.nonzero(got[k : k + 256])
+        as_node, as_query = _place(rid, qid[a + k]), _place(qid, rid[b])
+        both = (as_node >= 0) & (as_query >= 0)
+        got[as_query[both], as_node[both]] = True
     return np.nonzero(got)
 
 
