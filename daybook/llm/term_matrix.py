@@ -159,26 +159,23 @@ def _numbered(with_words: bool):
     return run
 
 
-def _to_global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_global(block: pa.Table, words: pa.Table) -> pa.Table:
     """A block's columns become global word ids, ascending in each row."""
-    for b in batches:
-        for k in range(b.num_rows):
-            part = b.slice(k, 1)
-            nnz, local, data, ends = (part.column(c)[0].as_py() for c in ("nnz", "local", "data", "ends"))
-            words = part.column("words")[0].values
-            rows = len(part.column("ids")[0])
-            indptr, local, data = (_unpacked(*x) for x in ((ends, rows + 1, "<i8"), (local, nnz, "<u4"), (data, nnz, "<u4")))
-            indices = words.to_numpy()[local] if nnz else np.zeros(0, dtype="<i8")
-            # one word's place among the block's words in id order, and the row, in one number
-            place = np.empty(len(words) + 1, dtype=np.int64)
-            place[np.argsort(words.to_numpy())] = np.arange(len(words))
-            order = np.argsort(np.repeat(np.arange(rows), np.diff(indptr)) * (len(words) + 1) + place[local])
-            cols = [part.column(c) for c in ("shard", "ids", "parts", "digests", "marks")]
-            csr = (indptr.tobytes(), indices[order].astype("<i8").tobytes(), data[order].astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [*cols, *[pa.array([x], pa.binary()) for x in csr]],
-                names=["shard", "ids", "parts", "digests", "marks", "indptr", "indices", "data"],
-            )
+    nnz, local, data, ends = (block.column(c)[0].as_py() for c in ("nnz", "local", "data", "ends"))
+    rows = len(block.column("ids")[0])
+    indptr, local, data = (_unpacked(*x) for x in ((ends, rows + 1, "<i8"), (local, nnz, "<u4"), (data, nnz, "<u4")))
+    ids = np.zeros(len(words), dtype="<i8")
+    ids[words.column("pos").to_numpy()] = words.column("word_id").to_numpy()
+    # one word's place among the block's words in id order, and the row, in one number
+    place = np.empty(len(ids), dtype=np.int64)
+    place[np.argsort(ids)] = np.arange(len(ids))
+    order = np.argsort(np.repeat(np.arange(rows), np.diff(indptr)) * (len(ids) + 1) + place[local])
+    csr = (indptr.tobytes(), ids[local][order].tobytes(), data[order].astype("<i4").tobytes())
+    cols = [block.column(c) for c in ("shard", "ids", "parts", "digests", "marks")]
+    return pa.Table.from_arrays(
+        [*cols, *[pa.array([x], pa.binary()) for x in csr]],
+        names=["shard", "ids", "parts", "digests", "marks", "indptr", "indices", "data"],
+    )
 
 
 def term_matrix(docs: DataFrame, id_col: str = "doc_id", part_col: str = "lang", text_col: str = "text") -> Matrix:
@@ -203,16 +200,14 @@ def term_matrix(docs: DataFrame, id_col: str = "doc_id", part_col: str = "lang",
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_word = listed.repartition(parts, "word").sortWithinPartitions("word")
     dictionary = by_word.mapInArrow(_numbered(True), "word binary, word_id long")
-    # a block's words, in the order of its vocabulary; as many as a block has at most
-    named = (
-        by_word.mapInArrow(_numbered(False), "shard long, pos int, word_id long")
+    # a block meets the ids of its words, as many as its vocabulary has
+    named = by_word.mapInArrow(_numbered(False), "shard long, pos int, word_id long")
+    shards = (
+        blocks.drop("vocab", "n_vocab", "vocab_bytes")
         .groupBy("shard")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "word_id"))).alias("w"))
-        .select("shard", F.col("w.word_id").alias("words"))
+        .cogroup(named.groupBy("shard"))
+        .applyInArrow(_to_global, f"shard long, {each}, indptr binary, indices binary, data binary")
     )
-    no_words = F.array().cast("array<bigint>")
-    met = blocks.drop("vocab").join(named, "shard", "left").withColumn("words", F.coalesce("words", no_words))
-    shards = met.mapInArrow(_to_global, f"shard long, {each}, indptr binary, indices binary, data binary")
     return Matrix(dictionary, shards)
 
 
