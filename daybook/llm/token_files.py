@@ -27,7 +27,7 @@ each asked key to the shards whose range holds it, reads only their files, and f
 the index there; the documents of a key that spans shards are numbered through.
 
 Results for odd input: rows with a null key sort first, stand in shards without keys and read back as null; a null or empty text
-is the end id alone; repeated keys keep all their rows, ordered by text; a key column that is not an integer type is refused;
+is the end id alone; repeated keys keep all their rows, ordered by text within a shard; a key column that is not an integer type is refused;
 an empty table writes no shard and reads back empty; other columns are ignored.
 """
 
@@ -230,8 +230,8 @@ def write_token_files(
         if keys:
             yield out()
 
-    # a hot key is spread by its texts, equal texts by the rows
-    ranged = src.repartitionByRange("key", F.xxhash64("t"), "row").sortWithinPartitions("key", F.xxhash64("t"), "t").select("key", "t")
+    # a hot key is spread by its rows; the ranges are found without reading the texts
+    ranged = src.repartitionByRange("key", "row").sortWithinPartitions("key", "t").select("key", "t")
     whole = ranged.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     whole.write.option("lineSep", "\n").text(path)
 
@@ -258,16 +258,23 @@ def shard_directory(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).select("path", "content").mapInArrow(run, kinds)
 
 
-def _begins(directory: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shard, begin): ids before a shard; (shard, key, before): a boundary key's documents in earlier shards."""
-    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
-    begins = directory.select("shard", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("begin"))
+def _begins(sizes: DataFrame) -> DataFrame:
+    """(shard, begin): ids before a shard, from one row (shard, n_ids) per shard."""
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("shard", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("begin"))
+
+
+def _spanning(edges: DataFrame) -> DataFrame:
+    """(shard, key, before): a key's documents in earlier shards, from (shard, keyless, key, n) of the keys at shards' edges."""
+    same = Window.partitionBy("keyless", "key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return edges.select("shard", "key", F.coalesce(F.sum("n").over(same), F.lit(0)).alias("before")).where("before > 0")
+
+
+def _edges(directory: DataFrame) -> DataFrame:
     first = F.struct(F.col("first_key").alias("key"), F.col("first_docs").alias("n"))
     last = F.struct(F.col("last_key").alias("key"), F.col("last_docs").alias("n"))
     # only keys at a shard's edge can stand in several
-    edges = directory.select("shard", "keyless", F.explode(F.array_distinct(F.array(first, last))).alias("e")).select("shard", "keyless", "e.*")
-    same = Window.partitionBy("keyless", "key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return begins, edges.select("shard", "key", F.coalesce(F.sum("n").over(same), F.lit(0)).alias("before")).where("before > 0")
+    return directory.select("shard", "keyless", F.explode(F.array_distinct(F.array(first, last))).alias("e")).select("shard", "keyless", "e.*")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -287,9 +294,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     marks = [pa.array(np.full(s.docs, s.number)), pa.array(np.full(s.docs, s.keyless))]
                     yield pa.RecordBatch.from_arrays([*marks, *[pa.array(x.astype(np.int64)) for x in cols]], names=names)
 
-    begins, edges = _begins(cut(shard_directory(spark, path)))
     kinds = "shard long, keyless boolean, key long, local long, n_tokens long, ids_crc32 long, here long"
-    docs = _files(spark, path).select("content").mapInArrow(rows, kinds)
+    # the files are read once; their shards' sizes and edges come from what was read
+    docs = cut(_files(spark, path).select("content").mapInArrow(rows, kinds))
+    begins = _begins(docs.groupBy("shard").agg(F.sum("n_tokens").alias("n_ids")))
+    held = docs.groupBy("shard", "keyless").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    low, high = (held.select("shard", F.col(c).alias("key")) for c in ("low", "high"))
+    at_edge = docs.join(low.unionByName(high).distinct(), ["shard", "key"], "left_semi")
+    edges = _spanning(at_edge.groupBy("shard", "keyless", "key").agg(F.count("*").alias("n")))
     return docs.join(begins, "shard").join(edges, ["shard", "key"], "left").select(
         F.when(~F.col("keyless"), F.col("key")).alias("key"),
         (F.col("begin") + F.col("local")).alias("start"),
@@ -305,7 +317,7 @@ def lookup(spark: SparkSession, path: str, asked: DataFrame, key_col: str = "key
     The directory goes to the tasks in slices of ``DIRECTORY_AT_A_TIME`` shards, one slice for most tables.
     """
     directory = cut(shard_directory(spark, path).where("NOT keyless"))
-    _, edges = _begins(directory)
+    edges = _spanning(_edges(directory))
     keys = asked.select(F.col(key_col).cast("long").alias("key")).where("key IS NOT NULL").distinct()
     edge = directory.select("shard").orderBy("shard")
     most, sent = DIRECTORY_AT_A_TIME, None
