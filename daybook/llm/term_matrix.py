@@ -39,7 +39,7 @@ from daybook.llm.common import cut, hot_join
 
 FILTERS = "ABCDE"
 #: Tokens after which a block of documents closes.
-BLOCK_TOKENS = 1 << 23
+BLOCK_TOKENS = 2_500_000
 #: Low bits of a word id: the word's rank in its partition of the dictionary.
 RANK_BITS = 40
 _SYMBOL = re.compile(rb"[#$%&*|]")
