@@ -62,15 +62,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp as signed long), one row per row of ``docs``."""
+    """(id in its own type, fp as signed long), one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return src.mapInArrow(run, "id long, fp long")
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
 
 
 def ring_segments(max_bits: int) -> list[tuple[int, int]]:
