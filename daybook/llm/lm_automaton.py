@@ -1,42 +1,38 @@
-"""Language-model scoring with a weighted backoff automaton.
-
-Counting.  Every training token is counted.  The n-grams that become states
-and arcs are those that occur at least ``arc_floor`` * N ** (1 - ``growth``)
-times (and at least twice).  At most N ** growth / arc_floor n-grams of an
-order can do so: the automaton grows with the corpus, and its size has a
-proven bound that is known before it is broadcast (0.9 million an order at
-10 ** 8 tokens, 16 million at 10 ** 13).  The rule is the same at every size.
-An n-gram can only reach the floor if its parts do, so each order is counted
-among the kept arcs of the order below, with partial counts per task before
-the shuffle.
-
-Model.  The lowest order is the add-one distribution over all training words
-(the base score).  Each state h keeps p(w | h) = (c(h w) - discount) / c(h)
-for its arcs; what is left of the mass goes to its failure arc, whose weight
-makes the state's distribution sum to one.
-
-Scoring.  One left-to-right traversal per text carries the state; each token
-takes an arc or falls along failure arcs, adding log10 weights.  Words in the
-automaton get their base weight in the same pass.  For the other words the
-pass hands out (row, word, count), which meet the full word counts in a join;
-their base weight completes both scores.
-
-Results for odd input: a null or empty text is the end token alone; a null id
-is kept and hashes as the empty string; repeated rows are scored one by one;
-without any training row N and V are 0 and every base probability is 1; an
+"""Language-model scoring with weighted backoff automata, one per block of texts.
+
+Model.  Every n-gram of one to three tokens that a training text holds counts, from one occurrence on, at
+every size of the corpus.  The lowest order is the add-one distribution over all training words (the base score).  An
+n-gram h is a state; its arcs carry Dirichlet-smoothed probabilities
+p(w | h) = (c(h w) + m * p(w | h')) / (c(h) + m), where h' is h without its first token, and its failure
+arc carries m / (c(h) + m).  Each state's distribution sums to one: what its arcs leave is exactly the failure weight
+times what the arcs' words leave in h'.
+
+Spark.  Texts are gathered into blocks of ``block_bytes`` (a longer text is cut at white space into pieces that
+know the two tokens before them), stored once as compressed rows in the shared folder.  Each block counts its distinct
+n-grams and sends them, as sorted 64-bit hashes, to ranges of the hash; a range adds up the blocks' counts and answers
+every block with the totals of its own n-grams, in its order.  So no task holds more than a block or a range,
+nothing but N and V reaches the driver, nothing is broadcast, and a frequent n-gram is one entry per block.
+A block then builds the part of the automaton that its texts can reach and scores them: one left-to-right traversal
+per text carries the state, takes arcs or falls along failure arcs, and adds up log10 weights.
+Ranges and blocks both grow with the corpus, so an answer holds fewer entries as it does: in the limit the messages are one n-gram
+each, never more than the distinct n-grams of the blocks.  N-grams are told apart by 64 bits: among 10 ** 9 distinct ones
+about 0.03 pairs are expected to share a hash, and they would share a count.
+
+Results for odd input: a null or empty text is the end token alone; a null id is kept and hashes as the empty string;
+repeated rows are scored one by one; without any training row N and V are 0 and every base probability is 1; an
 empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,272 +41,302 @@ from daybook.llm.common import crc_mod, cut
 #: The end token.  It holds a space, so no word of a text equals it.
 END = b" end"
 
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
 
 def tokens(text: str | None) -> list[bytes]:
     """Lower-case A-Z, split at ASCII white space, then the end token."""
-    out = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out.append(END)
-    return out
-
+    return [*words_of((text or "").encode("utf-8", "surrogatepass")), END]
 
-@dataclass
-class Automaton:
-    """states: per state its arcs {word index: (log10 weight, next state)}, failure state and failure weight."""
-
-    words: dict[bytes, int]
-    base: np.ndarray
-    arcs: list[dict[int, tuple[float, int]]] = field(default_factory=lambda: [{}])
-    fail: list[int] = field(default_factory=lambda: [0])
-    fail_weight: list[float] = field(default_factory=lambda: [0.0])
-    #: context (word indices) -> state; the root is ()
-    states: dict[tuple[int, ...], int] = field(default_factory=lambda: {(): 0})
-
-    def prob(self, context: tuple[int, ...], w: int) -> float:
-        """p(w | context), by failure arcs."""
-        s, lost = self.state(context), 0.0
-        while s:
-            if (a := self.arcs[s].get(w)) is not None:
-                return 10 ** (lost + a[0])
-            lost += self.fail_weight[s]
-            s = self.fail[s]
-        return 10 ** (lost + float(self.base[w]))
-
-    def state(self, context: tuple[int, ...]) -> int:
-        while context not in self.states:
-            context = context[1:]
-        return self.states[context]
-
-    def walk(self, ids: list[int]) -> float:
-        """Log10 weight of the path beyond the base weights of the words that fall to the root (-1: a word outside)."""
-        arcs, fail, weight, root = self.arcs, self.fail, self.fail_weight, self.states
-        base, total, s = self.base_list, 0.0, 0
-        for w in ids:
-            while s:
-                a = arcs[s].get(w)
-                if a is not None:
-                    total += a[0]
-                    s = a[1]
-                    break
-                total += weight[s]
-                s = fail[s]
-            else:
-                if w >= 0:
-                    total += base[w]
-                    s = root.get((w,), 0)
-        return total
 
-    @property
-    def base_list(self) -> list[float]:
-        if not hasattr(self, "_base_list"):
-            self._base_list = self.base.tolist()
-        return self._base_list
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count: Counter = Counter()
+# Blocks of texts
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["word", "c"]
-        )
 
-    for b in batches:
-        texts = b.column(0)
-        for k in range(0, len(texts), 500):
-            count.update(chain.from_iterable(tokens(t) for t in texts[k : k + 500].to_pylist()))
-            if len(count) > 400_000:
-                yield out()
-                count.clear()
-    if count:
-        yield out()
+def pieces(text: bytes, most: int) -> Iterator[tuple[bytes, bytes, bool]]:
+    """(the two tokens before, text, is last): a text cut at white space after every ``most`` bytes."""
+    at, before = 0, []
+    while len(text) - at > most and (gap := SPACE.search(text, at + most)):
+        piece = text[at : gap.start()]
+        yield b" ".join(before), piece, False
+        before = [*before, *words_of(piece)][-2:]
+        at = gap.start()
+    yield b" ".join(before), text[at:], True
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word binary, c long) over all rows of a one-column table of texts."""
-    return texts.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+PIECE = pa.schema([("row", pa.int64()), ("learn", pa.bool_()), ("before", pa.binary()), ("text", pa.binary()), ("last", pa.bool_())])
 
 
-def _count_ngrams(words, kept, order: int):
-    """Counts of n-grams of kept words whose first and last order - 1 words are kept n-grams."""
+def _gather(block_bytes: int):
+    """Rows (row, id, learn, t) to blocks (block, payload): compressed Arrow streams of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = words.value
-        size = len(index)
-        below = kept.value  # codes of the kept n-grams of the order below, sorted
-        parts: list[np.ndarray] = []
+        held: list[tuple] = []
+        size, made, first, kind = 0, 0, None, None
 
         def out() -> pa.RecordBatch:
-            code, c = np.unique(np.concatenate(parts), return_counts=True)
+            schema = PIECE.append(pa.field("id", kind))
+            table = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(table)
+            # the first row's number is the partition's alone; blocks of one partition count on from it
             return pa.RecordBatch.from_arrays(
-                [pa.array(below[code // size]), pa.array(code % size), pa.array(c.astype(np.int64))],
-                names=["head", "last", "c"],
+                [pa.array([first + made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"]
             )
 
-        held = 0
         for b in batches:
-            texts = b.column(0)
-            for k in range(0, len(texts), 500):
-                ids = [index.get(w, -1) for t in texts[k : k + 500].to_pylist() for w in chain(tokens(t), (b"\x00 ",))]
-                x = np.array(ids, dtype=np.int64)
-                code, ok = x, x >= 0  # order 1: the code is the index
-                for _ in range(order - 2):
-                    ok = ok[:-1] & (x[len(x) - len(ok) + 1 :] >= 0)
-                    code = code[:-1] * size + x[len(x) - len(code) + 1 :]
-                if not len(below) or len(code) < 2:
-                    continue
-                at = np.clip(np.searchsorted(below, code), 0, len(below) - 1)
-                known = ok & (below[at] == code)
-                both = known[:-1] & known[1:]
-                parts.append(at[:-1][both] * size + x[len(x) - len(code) + 1 :][both])
-                held += len(parts[-1])
-                if held > 3_000_000:
-                    yield out()
-                    parts, held = [], 0
+            kind = b.schema.field(1).type
+            for k in range(0, b.num_rows, 500):
+                for row, id_, learn, t in zip(*(c.to_pylist() for c in b.slice(k, 500).columns)):
+                    first = row if first is None else first
+                    for before, text, last in pieces((t or "").encode("utf-8", "surrogatepass"), block_bytes):
+                        held.append((row, learn, before, text, last, id_))
+                        size += len(text) + 16
+                        if size >= block_bytes:
+                            yield out()
+                            held, size, made = [], 0, made + 1
         if held:
             yield out()
 
     return run
 
 
-def least_count(n: int, arc_floor: float, growth: float) -> int:
-    """Occurrences that make an n-gram an arc, among ``n`` training tokens."""
-    return max(2, math.ceil(arc_floor * n ** (1 - growth)))
+def read_block(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(payload).read_all()
 
 
-def train(
-    training: DataFrame,
-    text_col: str = "text",
-    order: int = 3,
-    arc_floor: float = 1.2e-4,
-    growth: float = 0.25,
-    discount: float = 0.5,
-):
-    """(automaton, all word counts as a checkpointed table, N, V) of the rows of ``training``."""
-    texts = training.select(F.col(text_col).cast("string").alias("t"))
-    counts = cut(word_counts(texts))
-    n, v = counts.agg(F.sum("c"), F.count("*")).first()
-    n = int(n or 0)
-    least = least_count(n, arc_floor, growth)
-    # at most n / least rows can reach this count
-    top = sorted((bytes(r[0]), r[1]) for r in counts.where(F.col("c") >= least).collect())
-    auto = Automaton({w: i for i, (w, _) in enumerate(top)}, np.array([math.log10((c + 1) / (n + v + 1)) for _, c in top]))
-    sc = training.sparkSession.sparkContext
-    size = max(1, len(top))
-    if size ** (order - 1) >= 2**63:
-        raise ValueError("arc_floor is too small, or order too large, for n-gram codes in 64 bits")
-    words = sc.broadcast(auto.words)
-    ctx_count = {(i,): c for i, (_, c) in enumerate(top)}
-    kept_codes = np.arange(len(top), dtype=np.int64)
-    for k in range(2, order + 1):
-        kept = sc.broadcast(kept_codes)
-        rows = (
-            texts.mapInArrow(_count_ngrams(words, kept, k), "head long, last long, c long")
-            .groupBy("head", "last")
-            .agg(F.sum("c").alias("c"))
-            .where(F.col("c") >= least)
-            .collect()
-        )
-        grams = {}
-        for head, last, c in rows:
-            context = []
-            for _ in range(k - 1):
-                head, w = divmod(head, size)
-                context.append(w)
-            grams[(*reversed(context), last)] = c
-        _add_order(auto, grams, ctx_count, discount)
-        ctx_count = grams
-        kept_codes = np.array(sorted(_code(g, size) for g in grams), dtype=np.int64)
-        if not grams:
-            break
-    _link_states(auto)
-    return auto, counts, n, int(v)
-
-
-def _code(gram: tuple[int, ...], size: int) -> int:
-    out = 0
-    for w in gram:
-        out = out * size + w
-    return out
-
-
-def _add_order(auto: Automaton, grams: dict, ctx_count: dict, discount: float) -> None:
-    by_context: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-    for g, c in sorted(grams.items()):
-        by_context.setdefault(g[:-1], []).append((g[-1], c))
-    made = []
-    for context, follow in by_context.items():
-        total = ctx_count[context]
-        p = [(c - discount) / total for _, c in follow]
-        below = sum(auto.prob(context[1:], w) for w, _ in follow)
-        left, room = max(1 - sum(p), 1e-12), max(1 - below, 1e-12)
-        made.append((context, {w: (math.log10(x), 0) for (w, _), x in zip(follow, p)}, math.log10(left / room)))
-    for context, arcs, back in made:  # all at once: probabilities of the order below must not see them
-        auto.states[context] = len(auto.arcs)
-        auto.arcs.append(arcs)
-        auto.fail.append(auto.state(context[1:]))
-        auto.fail_weight.append(back)
-
-
-def _link_states(auto: Automaton) -> None:
-    """An arc leads to the state of the longest known end of context and word."""
-    for context, s in list(auto.states.items()):
-        for w, (weight, _) in auto.arcs[s].items():
-            auto.arcs[s][w] = (weight, auto.state((*context, w)))
-
-
-def _score(shared):
+@dataclass
+class Grams:
+    """The distinct n-grams of a block; words, pairs and triples are numbered, a pair is a * W + b, a triple pair * W + c."""
+
+    x: np.ndarray  # word number per position
+    starts: list[int]  # first position of each piece, and the end
+    skip: list[int]  # leading positions of each piece that are context only
+    counted: np.ndarray  # per position: learned from
+    pairs: np.ndarray
+    triples: np.ndarray
+    counts: np.ndarray  # training occurrences here, in the order of ``hashes``
+    hashes: np.ndarray  # sorted
+    order: np.ndarray  # places of the sorted hashes among words, pairs, triples
+    size: int  # W
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of a sequence's hash and one more word."""
+    h = (a * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)) ^ b
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+ONE = np.uint64(1)
+
+
+def grams_of(block: pa.Table) -> Grams:
+    """All n-grams of the block's pieces.  The lowest bit of a hash tells words (1) from longer ones (0)."""
+    index: dict[bytes, int] = {}
+    parts, starts, skip, learn, at = [], [0], [], [], 0
+    cols = (block.column(c).to_pylist() for c in ("learn", "before", "text", "last"))
+    for learned, before, text, last in zip(*cols):
+        ahead = before.split()
+        ws = chain(ahead, words_of(text), (END,) if last else ())
+        ids = np.array([index.setdefault(w, len(index)) for w in ws], dtype=np.int64)
+        parts.append(ids)
+        at += len(ids)
+        starts.append(at), skip.append(len(ahead)), learn.append(bool(learned))
+    x, size = np.concatenate(parts), max(1, len(index))
+    piece = np.repeat(np.arange(len(parts)), np.diff(starts))
+    place = np.arange(len(x)) - np.array(starts)[piece]
+    counted = np.array(learn)[piece] & (place >= np.array(skip)[piece])
+    two, three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
+    pairs, pair_at = np.unique(x[two - 1] * size + x[two], return_inverse=True)
+    pair_of = np.zeros(len(x), dtype=np.int64)
+    pair_of[two] = pair_at
+    triples, triple_at = np.unique(pair_of[three - 1] * size + x[three], return_inverse=True)
+    c = [
+        np.bincount(x[counted], minlength=size),
+        np.bincount(pair_at[counted[two]], minlength=len(pairs)),
+        np.bincount(triple_at[counted[three]], minlength=len(triples)),
+    ]
+    h1 = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), dtype=np.uint64, count=len(index))
+    if not len(index):
+        h1 = np.zeros(1, dtype=np.uint64)
+    h2 = _mix(h1[pairs // size], h1[pairs % size])
+    h3 = _mix(h2[triples // size], h1[triples % size])
+    hashes = np.concatenate([h1 | ONE, h2 & ~ONE, h3 & ~ONE])
+    order = np.argsort(hashes)
+    return Grams(x, starts, skip, counted, pairs, triples, np.concatenate(c)[order], hashes[order], order, size)
+
+
+# Counts of the whole corpus
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit integers by byte planes, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, n * 8, codec="zstd", asbytes=True), dtype=np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+
+
+def _send(bits: int):
+    """Each block's n-grams, cut into ``2 ** bits`` ranges of the hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto: Automaton = shared.value
-        index, base = auto.words, auto.base_list
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                rows: list[list] = [[], [], [], [], [], [], [], []]
-                row, id_, word, cnt, n_tok, known, low, path = rows
-                for rid, name, t in zip(*(c.to_pylist() for c in part.columns)):
-                    words = tokens(t)
-                    ids = [index.get(w, -1) for w in words]
-                    rest = Counter(w for w, i in zip(words, ids) if i < 0)
-                    inside = len(ids) - sum(rest.values())
-                    # the row's own line stands under a word that no text has, spread by the row
-                    row.append(rid), id_.append(name), word.append(b" %d" % rid), cnt.append(0)
-                    n_tok.append(len(ids)), known.append(inside), path.append(auto.walk(ids))
-                    low.append(sum(base[i] for i in ids if i >= 0))
-                    for w, c in rest.items():
-                        row.append(rid), id_.append(None), word.append(w), cnt.append(c)
-                        n_tok.append(0), known.append(0), path.append(0.0), low.append(0.0)
-                types = [pa.int64(), part.schema.field(1).type, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, ty) for x, ty in zip(rows, types)],
-                    names=["row", "id", "word", "cnt", "n_tok", "known", "low", "path"],
-                )
+            for block, payload in zip(b.column(0).to_pylist(), b.column(1)):
+                g = grams_of(read_block(payload.as_py()))
+                edges = np.searchsorted(g.hashes >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
+                used = np.flatnonzero(np.diff(edges))
+                for some in np.array_split(used, len(used) // 1024 + 1):
+                    cuts = [(edges[k], edges[k + 1]) for k in some]
+                    steps = [np.diff(g.hashes[i:j], prepend=np.uint64(0)) for i, j in cuts]
+                    arrays = [
+                        pa.array(some, pa.int64()),
+                        pa.array([block] * len(cuts), pa.int64()),
+                        pa.array([j - i for i, j in cuts], pa.int64()),
+                        pa.array([_pack(s) for s in steps], pa.binary()),
+                        pa.array([_pack(g.counts[i:j]) for i, j in cuts], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["range", "block", "n", "hashes", "counts"])
 
     return run
 
 
-def score(docs: DataFrame, auto: Automaton, counts: DataFrame, n: int, v: int, id_col: str = "doc_id", text_col: str = "text"):
-    """(id_col, n_tokens, n_known, base_score, score), one row per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(auto)
-    src = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")
+def _total(table: pa.Table) -> pa.Table:
+    """A range's totals, sent back to each block; ``tokens`` and ``words`` of the range stand in its first row."""
+    n = table.column("n").to_pylist()
+    hashes = np.concatenate([np.cumsum(_unpack(h.as_py(), k), dtype=np.uint64) for h, k in zip(table.column("hashes"), n)])
+    counts = np.concatenate([_unpack(c.as_py(), k) for c, k in zip(table.column("counts"), n)]).astype(np.int64)
+    order = np.argsort(hashes)
+    new = np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0
+    group = np.cumsum(new) - 1
+    total = np.add.reduceat(counts[order], np.flatnonzero(new))
+    is_word = (hashes[order][new] & ONE) == ONE
+    words = int((is_word & (total > 0)).sum())
+    spoken = int(total[is_word].sum())
+    back = np.empty(len(hashes), dtype=np.int64)
+    back[order] = total[group]
+    ends = np.cumsum(n)
+    rest = [0] * (len(n) - 1)
+    return pa.table(
+        {
+            "range": table.column("range"),
+            "block": table.column("block"),
+            "n": table.column("n"),
+            "totals": pa.array([_pack(back[e - k : e]) for e, k in zip(ends, n)], pa.binary()),
+            "tokens": pa.array([spoken, *rest], pa.int64()),
+            "words": pa.array([words, *rest], pa.int64()),
+        }
     )
-    # the id rides along on a line of the row's own, so the texts are read once
-    kind = src.schema["id"].dataType.simpleString()
-    parts = src.mapInArrow(
-        _score(shared),
-        f"row long, id {kind}, word binary, cnt long, n_tok long, known long, low double, path double",
-    )
-    met = parts.join(counts, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    tail = F.when(F.col("cnt") > 0, F.col("cnt") * F.log10((c + 1) / F.lit(float(n + v + 1)))).otherwise(0.0)
-    sums = met.groupBy("row").agg(
-        F.max("id").alias(id_col),
-        F.sum("n_tok").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(c > 0, F.col("cnt")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("low") + tail).alias("base_score"),
-        F.sum(F.col("path") + tail).alias("score"),
+
+
+# The automaton of a block
+
+
+@dataclass
+class Automaton:
+    """State 0 is the root, 1 + w the word w, 1 + W + k the pair k.  ``arcs``: state * W + word -> arc."""
+
+    size: int
+    arcs: dict[int, int]
+    weight: list[float]
+    to: list[int]
+    fail: list[int]
+    fail_weight: list[float]
+    root_weight: list[float]
+    root_to: list[int]
+
+    def walk(self, ids: list[int], skip: int = 0) -> float:
+        """Log10 weight of the path of all but the first ``skip`` words, which only lead to the state."""
+        arcs, weight, to, fail, lost, size = self.arcs, self.weight, self.to, self.fail, self.fail_weight, self.size
+        total, s = 0.0, 0
+        for i, w in enumerate(ids):
+            if i == skip:
+                total = 0.0
+            while s:
+                a = arcs.get(s * size + w)
+                if a is not None:
+                    total += weight[a]
+                    s = to[a]
+                    break
+                total += lost[s]
+                s = fail[s]
+            else:
+                total += self.root_weight[w]
+                s = self.root_to[w]
+        return total if len(ids) > skip else 0.0
+
+
+def build(g: Grams, totals: np.ndarray, n: int, v: int, strength: tuple[float, float]) -> Automaton:
+    """``totals`` are the corpus counts in the order of ``g.hashes``."""
+    c = np.empty(len(totals), dtype=np.int64)
+    c[g.order] = totals
+    size, pairs, triples = g.size, g.pairs, g.triples
+    c1, c2, c3 = c[:size], c[size : size + len(pairs)], c[size + len(pairs) :]
+    m2, m3 = strength
+    p1 = (c1 + 1) / (n + v + 1)
+    a, b = pairs // size, pairs % size
+    p2 = (c2 + m2 * p1[b]) / (c1[a] + m2)
+    head, w = triples // size, triples % size
+    low = np.searchsorted(pairs, b[head] * size + w)
+    p3 = (c3 + m3 * p2[low]) / (c2[head] + m3)
+    two, three = c2 > 0, c3 > 0
+    keys = np.concatenate([((1 + a) * size + b)[two], ((1 + size + head) * size + w)[three]])
+    lead = 1 + size + np.concatenate([np.flatnonzero(two), low[three]])
+    return Automaton(
+        size,
+        dict(zip(keys.tolist(), range(len(keys)))),
+        np.log10(np.concatenate([p2[two], p3[three]])).tolist(),
+        lead.tolist(),
+        np.concatenate([np.zeros(1 + size, dtype=np.int64), np.where(c1[b] > 0, 1 + b, 0)]).tolist(),
+        np.log10(np.concatenate([[1.0], m2 / (c1 + m2), m3 / (c2 + m3)])).tolist(),
+        np.log10(p1).tolist(),
+        np.where(c1 > 0, np.arange(1, size + 1), 0).tolist(),
     )
-    return sums.drop("row")
+
+
+def _score(n: int, v: int, strength: tuple[float, float]):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        block = read_block(blocks.column("payload")[0].as_py())
+        g = grams_of(block)
+        if len(answers):
+            answers = answers.sort_by("range")
+            sent = zip(answers.column("totals"), answers.column("n").to_pylist())
+            totals = np.concatenate([_unpack(t.as_py(), k) for t, k in sent]).astype(np.int64)
+        if len(totals) != len(g.hashes):
+            raise ValueError("a block's answers are not whole")
+        auto = build(g, totals, n, v, strength)
+        c1 = np.empty(len(totals), dtype=np.int64)
+        c1[g.order] = totals
+        known, base = (c1[: g.size] > 0), np.array(auto.root_weight)
+        n_tokens, n_known, low, path = [], [], [], []
+        for i, j, k in zip(g.starts, g.starts[1:], g.skip):
+            ids = g.x[i:j]
+            own = ids[k:]
+            n_tokens.append(len(own)), n_known.append(int(known[own].sum())), low.append(float(base[own].sum()))
+            path.append(auto.walk(ids.tolist(), k))
+        return pa.table(
+            {
+                "row": block.column("row"),
+                "id": block.column("id"),
+                "n_tokens": pa.array(n_tokens, pa.int64()),
+                "n_known": pa.array(n_known, pa.int64()),
+                "base_score": pa.array(low, pa.float64()),
+                "score": pa.array(path, pa.float64()),
+            }
+        )
+
+    return run
 
 
 def score_documents(
@@ -319,18 +345,42 @@ def score_documents(
     text_col: str = "text",
     modulus: int = 7,
     held_remainder: int = 2,
-    order: int = 3,
-    arc_floor: float = 1.2e-4,
-    growth: float = 0.25,
-    discount: float = 0.5,
+    strength: tuple[float, float] = (500.0, 20.0),
+    block_bytes: int = 1 << 21,
 ) -> DataFrame:
-    """Score all rows; rows whose crc32 of the id has ``held_remainder`` modulo ``modulus`` are not learned from."""
+    """Score all rows; rows whose crc32 of the id has ``held_remainder`` modulo ``modulus`` are not learned from.
+
+    ``strength`` is m of the pairs' and of the triples' distributions; the block size changes no score.
+    """
     held = crc_mod(id_col, modulus) == held_remainder
-    auto, counts, n, v = train(docs.where(~held), text_col, order, arc_floor, growth, discount)
-    out = score(docs, auto, counts, n, v, id_col, text_col)
-    return out.select(
+    src = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(id_col).alias("id"),
+        (~held).alias("learn"),
+        F.col(text_col).cast("string").alias("t"),
+    )
+    kind = src.schema["id"].dataType.simpleString()
+    blocks = cut(src.mapInArrow(_gather(block_bytes), "block long, payload binary"))
+    # about one range for two blocks, so a range is of a bounded number of n-grams
+    bits = max(1, (max(1, blocks.count()) - 1).bit_length() - 1)
+    sent = blocks.mapInArrow(_send(bits), "range long, block long, n long, hashes binary, counts binary")
+    shape = "range long, block long, n long, totals binary, tokens long, words long"
+    answers = cut(sent.groupBy("range").applyInArrow(_total, shape))
+    n, v = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("words")).first())
+    scored = (
+        blocks.groupBy("block")
+        .cogroup(answers.select("block", "range", "n", "totals").groupBy("block"))
+        .applyInArrow(
+            _score(n, v, strength), f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double"
+        )
+    )
+    # a long text's pieces meet again; all others are one row each
+    sums = scored.groupBy("row").agg(
+        F.max("id").alias(id_col), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    )
+    return sums.select(
         id_col,
-        held.alias("held_out"),
+        (crc_mod(id_col, modulus) == held_remainder).alias("held_out"),
         "n_tokens",
         "n_known",
         F.lit(n).cast("long").alias("train_tokens"),

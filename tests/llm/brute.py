@@ -74,6 +74,29 @@ def base_scores(rows, modulus=7, held=2):
     return out
 
 
+def model_scores(rows, strength=(500.0, 20.0), modulus=7, held=2):
+    """log10 p of each text, by plain counts of its words' histories of up to two tokens."""
+    count = Counter()
+    for key, text in rows:
+        if crc_mod(key, modulus) != held:
+            ts = [*lower(text).split(), None]
+            count.update(tuple(ts[i : i + k]) for k in (1, 2, 3) for i in range(len(ts) - k + 1))
+    ones = {g: c for g, c in count.items() if len(g) == 1}
+    mass = sum(ones.values()) + len(ones) + 1
+
+    def p(history, w):
+        if not history:
+            return (count[(w,)] + 1) / mass
+        m = strength[len(history) - 1]
+        return (count[(*history, w)] + m * p(history[1:], w)) / (count[history] + m)
+
+    out = []
+    for key, text in rows:
+        ts = [*lower(text).split(), None]
+        out.append((key, sum(math.log10(p(tuple(ts[max(0, i - 2) : i]), w)) for i, w in enumerate(ts))))
+    return out
+
+
 def simhash(text, shingle=4) -> int:
     import xxhash
 

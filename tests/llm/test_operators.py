@@ -8,10 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from daybook.llm import bpe, chat, embed_graph, lm_automaton, packing, quality_cnn, shard_lp, simhash_ring, token_files, toxicity_chain, winnow
+from daybook.llm.common import cut
 from tests.llm import brute
 from tests.llm.conftest import TEXTS
 
@@ -169,54 +171,83 @@ def test_range_search_reaches_all_in_range():
 # 2 language model
 
 
-@pytest.mark.parametrize("share", [2e-6, 1e-3])
-def test_language_model_base_scores(spark, docs, share):
-    out = lm_automaton.score_documents(docs, arc_floor=share)
+@pytest.mark.parametrize("block_bytes", [8, 50_000, 1 << 21])
+def test_language_model_scores(spark, docs, block_bytes):
+    """Against plain counts, with texts cut into pieces of any size."""
+    texts = [t for t in TEXTS if block_bytes > 8 or len(t[1] or "") < 1000]
+    chosen = docs if block_bytes > 8 else docs.where("coalesce(length(text), 0) < 1000")
+    out = cut(lm_automaton.score_documents(chosen, block_bytes=block_bytes))
     got = rows_of(out, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
-    want = sorted(brute.base_scores(TEXTS), key=repr)
+    want = sorted(brute.base_scores(texts), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-9)
-    assert all(r["score"] < 0 for r in out.collect())
+    scores, plain_scores = rows_of(out, "doc_id", "score"), sorted(brute.model_scores(texts), key=repr)
+    assert [s[0] for s in scores] == [s[0] for s in plain_scores]
+    assert np.allclose([s[1] for s in scores], [s[1] for s in plain_scores], rtol=1e-9)
 
 
-def test_language_model_is_a_distribution_and_beats_the_base(spark):
+def test_language_model_on_documents_equals_plain_counts_and_beats_the_base(spark):
     df = documents(spark)
-    auto, counts, n, v = lm_automaton.train(df.where(F.crc32(F.col("doc_id").cast("string")) % 7 != 2), arc_floor=1e-3)
-    unseen = 1 - sum(10.0 ** auto.base)
-    for context, s in list(auto.states.items())[1:400]:
-        total = sum(auto.prob(context, w) for w in range(len(auto.words)))
+    out = cut(lm_automaton.score_documents(df, block_bytes=40_000))
+    got = {r["doc_id"]: r["score"] for r in out.collect()}
+    want = dict(brute.model_scores(plain(df)))
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    held = out.where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
+
+
+def block_of(texts, learn=True):
+    rows = [(i, learn, b"", t.encode(), True, i) for i, t in enumerate(texts)]
+    schema = lm_automaton.PIECE.append(pa.field("id", pa.int64()))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def test_language_model_states_are_distributions():
+    g = lm_automaton.grams_of(block_of(["a b a b c", "b a c a b", "c c a b d"]))
+    n, v = len(g.x), g.size
+    auto = lm_automaton.build(g, g.counts, n, v, (5.0, 2.0))
+    unseen = 1 / (n + v + 1)
+    root = [10**w for w in auto.root_weight]
+    assert sum(root) + unseen == pytest.approx(1)
+    assert len(auto.arcs) == len(g.pairs) + len(g.triples)
+
+    def p(s, w):
+        lost = 0.0
+        while s:
+            if (a := auto.arcs.get(s * auto.size + w)) is not None:
+                return 10 ** (lost + auto.weight[a])
+            lost, s = lost + auto.fail_weight[s], auto.fail[s]
+        return 10**lost * root[w]
+
+    for s in range(len(auto.fail)):
         fall, t = 0.0, s
         while t:
             fall, t = fall + auto.fail_weight[t], auto.fail[t]
-        assert total + 10**fall * unseen == pytest.approx(1, abs=1e-6), context
-    out = lm_automaton.score_documents(df, arc_floor=1e-3).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert out[0] > out[1]
-    # one traversal gives the product of the conditional probabilities
-    words = sorted(auto.words, key=auto.words.get)
-    ids = [auto.words[w] for w in (words * 3)[:50]]
-    want = sum(np.log10(auto.prob(tuple(ids[max(0, i - 2) : i]), w)) for i, w in enumerate(ids))
-    assert auto.walk(ids) == pytest.approx(want)
-
-
-def test_language_model_arcs_are_the_frequent_ngrams(spark):
-    df = documents(spark)
-    auto, _, n, _ = lm_automaton.train(df, arc_floor=1e-3)
-    least = lm_automaton.least_count(n, 1e-3, 0.25)
-    assert least > 2
-    grams = Counter()
-    for _, text in plain(df):
-        ts = lm_automaton.tokens(text)
-        grams.update(tuple(ts[i : i + k]) for k in (1, 2, 3) for i in range(len(ts) - k + 1))
-    want = {g for g, c in grams.items() if c >= least}
-    names = sorted(auto.words, key=auto.words.get)
-    got = {(w,) for w in names}
-    got |= {(*(names[i] for i in h), names[w]) for h, s in auto.states.items() if h for w in auto.arcs[s]}
-    assert got == want and any(len(g) == 3 for g in got)
-
-
-def test_language_model_grows_with_the_corpus():
-    bound = [n / lm_automaton.least_count(n, 1.2e-4, 0.25) for n in (10**7, 10**9, 10**11, 10**13)]
-    assert all(a * 3 < b < 17_000_000 for a, b in zip(bound, bound[1:]))
+        if s and not any(k // auto.size == s for k in auto.arcs):
+            continue  # a state that ends with the end token has no followers
+        assert sum(p(s, w) for w in range(auto.size)) + 10**fall * unseen == pytest.approx(1), s
+
+
+def test_language_model_keeps_a_phrase_at_every_size(spark):
+    """After its first word a phrase is as likely in a much larger corpus: its arcs do not go."""
+    after = []
+    for size in (50, 5000):
+        rows = [(7 * k, " ".join(f"w{(k * 31 + j * j) % 997}" for j in range(8))) for k in range(size)]
+        rows += [(-k, "seldom heard phrase") for k in range(1, 40)] + [(-100, "seldom"), (-101, "")]
+        out = lm_automaton.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), strength=(1.0, 1.0))
+        by_id = {r["doc_id"]: r for r in out.where("doc_id < 0").collect()}
+        first = by_id[-100]["base_score"] - by_id[-101]["base_score"]
+        after.append(by_id[-1]["score"] - first)
+    assert min(after) > -0.2 and abs(after[0] - after[1]) < 0.05
+
+
+def test_language_model_hashes_meet_over_blocks_and_hot_copies(spark):
+    rows = [(k, "the same words again" if k % 3 else f"own {k}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = dict(rows_of(lm_automaton.score_documents(df, block_bytes=5000), "doc_id", "score"))
+    want = dict(brute.model_scores(rows))
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
 
 
 def test_language_model_empty(spark, no_docs):
