@@ -13,10 +13,11 @@ n-grams and sends them, as sorted 64-bit hashes, to ranges of the hash; a range
 every block with the totals of its own n-grams, in its order.  So no task holds more than a block or a range,
 nothing but N and V reaches the driver, nothing is broadcast, and a frequent n-gram is one entry per block.
 A block then builds the part of the automaton that its texts can reach and scores them: one left-to-right traversal
-per text carries the state, takes arcs or falls along failure arcs, and adds up log10 weights.
+per text carries the state, takes arcs or falls along failure arcs, and adds up log10 weights.  The state after a token is the
+longest known end of the last two tokens, so the traversal of all of a block's tokens runs in arrays.
 Ranges and blocks both grow with the corpus, so an answer holds fewer entries as it does: in the limit the messages are one n-gram
-each, never more than the distinct n-grams of the blocks.  N-grams are told apart by 64 bits: among 10 ** 9 distinct ones
-about 0.03 pairs are expected to share a hash, and they would share a count.
+each, never more than the distinct n-grams of the blocks.  Words are told apart by 63 bits, longer n-grams by 22 bits more than the
+corpus has bits of length (at most 63): at any size to 2 TB fewer than one n-gram in 4 million shares its hash, and so its count, with another.
 
 Results for odd input: a null or empty text is the end token alone; a null id is kept and hashes as the empty string;
 repeated rows are scored one by one; without any training row N and V are 0 and every base probability is 1; an
@@ -119,6 +120,8 @@ class Grams:
     counted: np.ndarray  # per position: learned from
     pairs: np.ndarray
     triples: np.ndarray
+    pair_at: np.ndarray  # per position: the pair that ends there, or -1
+    triple_at: np.ndarray  # per position: the triple that ends there, or -1
     counts: np.ndarray  # training occurrences here, in the order of ``hashes``
     hashes: np.ndarray  # sorted
     order: np.ndarray  # places of the sorted hashes among words, pairs, triples
@@ -138,8 +141,8 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 ONE = np.uint64(1)
 
 
-def grams_of(block: pa.Table) -> Grams:
-    """All n-grams of the block's pieces.  The lowest bit of a hash tells words (1) from longer ones (0)."""
+def grams_of(block: pa.Table, width: int = 63) -> Grams:
+    """All n-grams of the block's pieces.  The lowest bit of a hash tells words (1) from longer ones (0, of ``width`` bits)."""
     index: dict[bytes, int] = {}
     parts, starts, skip, learn, at = [], [0], [], [], 0
     cols = (block.column(c).to_pylist() for c in ("learn", "before", "text", "last"))
@@ -155,23 +158,23 @@ def grams_of(block: pa.Table) -> Grams:
     place = np.arange(len(x)) - np.array(starts)[piece]
     counted = np.array(learn)[piece] & (place >= np.array(skip)[piece])
     two, three = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-    pairs, pair_at = np.unique(x[two - 1] * size + x[two], return_inverse=True)
-    pair_of = np.zeros(len(x), dtype=np.int64)
-    pair_of[two] = pair_at
-    triples, triple_at = np.unique(pair_of[three - 1] * size + x[three], return_inverse=True)
+    pair_at, triple_at = np.full((2, len(x)), -1, dtype=np.int64)
+    pairs, pair_at[two] = np.unique(x[two - 1] * size + x[two], return_inverse=True)
+    triples, triple_at[three] = np.unique(pair_at[three - 1] * size + x[three], return_inverse=True)
     c = [
         np.bincount(x[counted], minlength=size),
-        np.bincount(pair_at[counted[two]], minlength=len(pairs)),
-        np.bincount(triple_at[counted[three]], minlength=len(triples)),
+        np.bincount(pair_at[counted & (place >= 1)], minlength=len(pairs)),
+        np.bincount(triple_at[counted & (place >= 2)], minlength=len(triples)),
     ]
     h1 = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), dtype=np.uint64, count=len(index))
     if not len(index):
         h1 = np.zeros(1, dtype=np.uint64)
     h2 = _mix(h1[pairs // size], h1[pairs % size])
     h3 = _mix(h2[triples // size], h1[triples % size])
-    hashes = np.concatenate([h1 | ONE, h2 & ~ONE, h3 & ~ONE])
+    kept = ~np.uint64(2 ** (64 - width) - 1)
+    hashes = np.concatenate([h1 | ONE, h2 & kept, h3 & kept])
     order = np.argsort(hashes)
-    return Grams(x, starts, skip, counted, pairs, triples, np.concatenate(c)[order], hashes[order], order, size)
+    return Grams(x, starts, skip, counted, pairs, triples, pair_at, triple_at, np.concatenate(c)[order], hashes[order], order, size)
 
 
 # Counts of the whole corpus
@@ -188,13 +191,13 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
 
-def _send(bits: int):
+def _send(bits: int, width: int):
     """Each block's n-grams, cut into ``2 ** bits`` ranges of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, payload in zip(b.column(0).to_pylist(), b.column(1)):
-                g = grams_of(read_block(payload.as_py()))
+                g = grams_of(read_block(payload.as_py()), width)
                 edges = np.searchsorted(g.hashes >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
                 used = np.flatnonzero(np.diff(edges))
                 for some in np.array_split(used, len(used) // 1024 + 1):
@@ -245,36 +248,45 @@ def _total(table: pa.Table) -> pa.Table:
 
 @dataclass
 class Automaton:
-    """State 0 is the root, 1 + w the word w, 1 + W + k the pair k.  ``arcs``: state * W + word -> arc."""
+    """State 0 is the root, 1 + w the word w, 1 + W + k the pair k.
+
+    Arc k < W leaves the root, W + k (for a pair k) its first word's state, W + len(pairs) + k (for a triple k)
+    its first two words' state; an arc of weight -inf does not exist.
+    """
 
     size: int
-    arcs: dict[int, int]
-    weight: list[float]
-    to: list[int]
-    fail: list[int]
-    fail_weight: list[float]
-    root_weight: list[float]
-    root_to: list[int]
-
-    def walk(self, ids: list[int], skip: int = 0) -> float:
-        """Log10 weight of the path of all but the first ``skip`` words, which only lead to the state."""
-        arcs, weight, to, fail, lost, size = self.arcs, self.weight, self.to, self.fail, self.fail_weight, self.size
-        total, s = 0.0, 0
-        for i, w in enumerate(ids):
-            if i == skip:
-                total = 0.0
-            while s:
-                a = arcs.get(s * size + w)
-                if a is not None:
-                    total += weight[a]
-                    s = to[a]
-                    break
-                total += lost[s]
-                s = fail[s]
-            else:
-                total += self.root_weight[w]
-                s = self.root_to[w]
-        return total if len(ids) > skip else 0.0
+    arc_weight: np.ndarray
+    arc_to: np.ndarray
+    fail: np.ndarray
+    fail_weight: np.ndarray
+
+    def walk(self, g: Grams) -> np.ndarray:
+        """Log10 weight of each position's step: failure arcs down to a state that has the token's arc, and that arc."""
+        no_arc = -np.ones_like(g.x)
+        # the arc of a position's token out of a state of two words, of one word, and out of the root
+        arcs = (
+            np.where(g.triple_at >= 0, self.size + len(g.pairs) + g.triple_at, no_arc),
+            np.where(g.pair_at >= 0, self.size + g.pair_at, no_arc),
+            g.x,
+        )
+        # the state carried to a position is where the token before it led: its longest known end
+        after = np.where(self.known(arcs[1]), self.arc_to[arcs[1]], self.arc_to[g.x])
+        state = np.concatenate([[0], after[:-1]])
+        state[np.array(g.starts[:-1], dtype=np.int64)[np.diff(g.starts) > 0]] = 0
+        step = np.zeros(len(g.x))
+        at = np.arange(len(g.x))  # positions that still look for an arc
+        for order, arc in enumerate(arcs):
+            here = (state[at] > self.size) if order == 0 else (state[at] > 0) if order == 1 else np.ones(len(at), dtype=bool)
+            takes = here & self.known(arc[at])
+            step[at[takes]] += self.arc_weight[arc[at[takes]]]
+            falls = at[here & ~takes]
+            step[falls] += self.fail_weight[state[falls]]
+            state[falls] = self.fail[state[falls]]
+            at = at[~takes]
+        return step
+
+    def known(self, arc: np.ndarray) -> np.ndarray:
+        return (arc >= 0) & (self.arc_weight[arc] > -np.inf)
 
 
 def build(g: Grams, totals: np.ndarray, n: int, v: int, strength: tuple[float, float]) -> Automaton:
@@ -290,41 +302,33 @@ def build(g: Grams, totals: np.ndarray, n: int, v: int, strength: tuple[float, f
     head, w = triples // size, triples % size
     low = np.searchsorted(pairs, b[head] * size + w)
     p3 = (c3 + m3 * p2[low]) / (c2[head] + m3)
-    two, three = c2 > 0, c3 > 0
-    keys = np.concatenate([((1 + a) * size + b)[two], ((1 + size + head) * size + w)[three]])
-    lead = 1 + size + np.concatenate([np.flatnonzero(two), low[three]])
-    return Automaton(
-        size,
-        dict(zip(keys.tolist(), range(len(keys)))),
-        np.log10(np.concatenate([p2[two], p3[three]])).tolist(),
-        lead.tolist(),
-        np.concatenate([np.zeros(1 + size, dtype=np.int64), np.where(c1[b] > 0, 1 + b, 0)]).tolist(),
-        np.log10(np.concatenate([[1.0], m2 / (c1 + m2), m3 / (c2 + m3)])).tolist(),
-        np.log10(p1).tolist(),
-        np.where(c1 > 0, np.arange(1, size + 1), 0).tolist(),
-    )
+    none = -np.inf
+    weights = [np.log10(p1), np.where(c2 > 0, np.log10(p2), none), np.where(c3 > 0, np.log10(p3), none)]
+    word_state = np.where(c1 > 0, np.arange(1, size + 1), 0)
+    lead = [word_state, 1 + size + np.arange(len(pairs)), 1 + size + low]
+    fail = [np.zeros(1 + size, dtype=np.int64), word_state[b]]
+    lost = [np.zeros(1), np.log10(m2 / (c1 + m2)), np.log10(m3 / (c2 + m3))]
+    return Automaton(size, np.concatenate(weights), np.concatenate(lead), np.concatenate(fail), np.concatenate(lost))
 
 
-def _score(n: int, v: int, strength: tuple[float, float]):
+def _score(n: int, v: int, strength: tuple[float, float], width: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         block = read_block(blocks.column("payload")[0].as_py())
-        g = grams_of(block)
-        if len(answers):
-            answers = answers.sort_by("range")
-            sent = zip(answers.column("totals"), answers.column("n").to_pylist())
-            totals = np.concatenate([_unpack(t.as_py(), k) for t, k in sent]).astype(np.int64)
+        g = grams_of(block, width)
+        answers = answers.sort_by("range")
+        sent = zip(answers.column("totals"), answers.column("n").to_pylist())
+        totals = np.concatenate([_unpack(t.as_py(), k) for t, k in sent]).astype(np.int64)
         if len(totals) != len(g.hashes):
             raise ValueError("a block's answers are not whole")
         auto = build(g, totals, n, v, strength)
         c1 = np.empty(len(totals), dtype=np.int64)
         c1[g.order] = totals
-        known, base = (c1[: g.size] > 0), np.array(auto.root_weight)
-        n_tokens, n_known, low, path = [], [], [], []
-        for i, j, k in zip(g.starts, g.starts[1:], g.skip):
-            ids = g.x[i:j]
-            own = ids[k:]
-            n_tokens.append(len(own)), n_known.append(int(known[own].sum())), low.append(float(base[own].sum()))
-            path.append(auto.walk(ids.tolist(), k))
+        own = np.ones(len(g.x), dtype=bool)  # without the tokens that only lead to a piece's first state
+        for i, k in zip(g.starts, g.skip):
+            own[i : i + k] = False
+        values = (own, own & (c1[g.x] > 0), np.where(own, auto.arc_weight[g.x], 0.0), np.where(own, auto.walk(g), 0.0))
+        # a sum of its own per piece, so no piece's rounding meets another's
+        n_tokens, n_known, low, path = ([x[i:j].sum().item() for i, j in zip(g.starts, g.starts[1:])] for x in values)
         return pa.table(
             {
                 "row": block.column("row"),
@@ -346,7 +350,7 @@ def score_documents(
     modulus: int = 7,
     held_remainder: int = 2,
     strength: tuple[float, float] = (500.0, 20.0),
-    block_bytes: int = 1 << 21,
+    block_bytes: int = 1 << 22,
 ) -> DataFrame:
     """Score all rows; rows whose crc32 of the id has ``held_remainder`` modulo ``modulus`` are not learned from.
 
@@ -361,17 +365,20 @@ def score_documents(
     )
     kind = src.schema["id"].dataType.simpleString()
     blocks = cut(src.mapInArrow(_gather(block_bytes), "block long, payload binary"))
-    # about one range for two blocks, so a range is of a bounded number of n-grams
-    bits = max(1, (max(1, blocks.count()) - 1).bit_length() - 1)
-    sent = blocks.mapInArrow(_send(bits), "range long, block long, n long, hashes binary, counts binary")
+    # a range for each block or two, so a range is of a bounded number of n-grams
+    n_blocks = max(2, blocks.count())
+    bits, width = (n_blocks - 1).bit_length(), min(63, max(48, 22 + (n_blocks * block_bytes).bit_length()))
+    sent = blocks.mapInArrow(_send(bits, width), "range long, block long, n long, hashes binary, counts binary")
     shape = "range long, block long, n long, totals binary, tokens long, words long"
     answers = cut(sent.groupBy("range").applyInArrow(_total, shape))
+    del sent
+    docs.sparkSession._jvm.System.gc()  # the cleaner may now free the shuffle of the n-grams, the largest of the job
     n, v = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("words")).first())
     scored = (
         blocks.groupBy("block")
         .cogroup(answers.select("block", "range", "n", "totals").groupBy("block"))
         .applyInArrow(
-            _score(n, v, strength), f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double"
+            _score(n, v, strength, width), f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double"
         )
     )
     # a long text's pieces meet again; all others are one row each

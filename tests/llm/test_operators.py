@@ -208,25 +208,48 @@ def test_language_model_states_are_distributions():
     n, v = len(g.x), g.size
     auto = lm_automaton.build(g, g.counts, n, v, (5.0, 2.0))
     unseen = 1 / (n + v + 1)
-    root = [10**w for w in auto.root_weight]
+    root = [10**w for w in auto.arc_weight[: g.size]]
     assert sum(root) + unseen == pytest.approx(1)
-    assert len(auto.arcs) == len(g.pairs) + len(g.triples)
+    pair_arcs = {(1 + k // g.size, k % g.size): g.size + i for i, k in enumerate(g.pairs.tolist())}
+    triple_arcs = {(1 + g.size + k // g.size, k % g.size): g.size + len(g.pairs) + i for i, k in enumerate(g.triples.tolist())}
+    arcs = pair_arcs | triple_arcs
+    assert np.isfinite(auto.arc_weight).all()
 
-    def p(s, w):
+    def step(s, w):
+        """(probability, next state), one arc at a time."""
         lost = 0.0
         while s:
-            if (a := auto.arcs.get(s * auto.size + w)) is not None:
-                return 10 ** (lost + auto.weight[a])
+            if (a := arcs.get((s, w))) is not None:
+                return lost + auto.arc_weight[a], auto.arc_to[a]
             lost, s = lost + auto.fail_weight[s], auto.fail[s]
-        return 10**lost * root[w]
+        return lost + auto.arc_weight[w], auto.arc_to[w]
 
     for s in range(len(auto.fail)):
+        if s and not any(k[0] == s for k in arcs):
+            continue  # a state that ends with the end token has no followers
         fall, t = 0.0, s
         while t:
             fall, t = fall + auto.fail_weight[t], auto.fail[t]
-        if s and not any(k // auto.size == s for k in auto.arcs):
-            continue  # a state that ends with the end token has no followers
-        assert sum(p(s, w) for w in range(auto.size)) + 10**fall * unseen == pytest.approx(1), s
+        assert sum(10 ** step(s, w)[0] for w in range(g.size)) + 10**fall * unseen == pytest.approx(1), s
+    # the traversal in arrays takes the steps of a plain one, also where words and pairs are unknown
+    for hide in (None, 3, 2):
+        totals = g.counts if hide is None else np.where(g.hashes % np.uint64(hide) == 0, 0, g.counts)
+        c = np.empty(len(totals), dtype=np.int64)
+        c[g.order] = totals
+        c1, c2, c3 = c[: g.size], c[g.size : g.size + len(g.pairs)], c[g.size + len(g.pairs) :]
+        c2[(c1[g.pairs // g.size] == 0) | (c1[g.pairs % g.size] == 0)] = 0
+        low = np.searchsorted(g.pairs, g.pairs[g.triples // g.size] % g.size * g.size + g.triples % g.size)
+        c3[(c2[g.triples // g.size] == 0) | (c2[low] == 0)] = 0
+        auto = lm_automaton.build(g, c[g.order], n, v, (5.0, 2.0))
+        every = pair_arcs | triple_arcs
+        arcs = {k: a for k, a in every.items() if np.isfinite(auto.arc_weight[a])}
+        want = []
+        for i, j in zip(g.starts, g.starts[1:]):
+            state = 0
+            for w in g.x[i:j].tolist():
+                weight, state = step(state, w)
+                want.append(weight)
+        assert np.allclose(auto.walk(g), want)
 
 
 def test_language_model_keeps_a_phrase_at_every_size(spark):
