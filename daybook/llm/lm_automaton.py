@@ -371,9 +371,9 @@ def score_documents(
     sent = blocks.mapInArrow(_send(bits, width), "range long, block long, n long, hashes binary, counts binary")
     shape = "range long, block long, n long, totals binary, tokens long, words long"
     answers = cut(sent.groupBy("range").applyInArrow(_total, shape))
-    del sent
-    docs.sparkSession._jvm.System.gc()  # the cleaner may now free the shuffle of the n-grams, the largest of the job
     n, v = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("words")).first())
+    del sent
+    docs.sparkSession._jvm.System.gc()  # Spark's cleaner may now free the shuffle of the n-grams, the largest of the job
     scored = (
         blocks.groupBy("block")
         .cogroup(answers.select("block", "range", "n", "totals").groupBy("block"))
