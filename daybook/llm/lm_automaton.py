@@ -26,6 +26,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -371,9 +372,13 @@ def score_documents(
     sent = blocks.mapInArrow(_send(bits, width), "range long, block long, n long, hashes binary, counts binary")
     shape = "range long, block long, n long, totals binary, tokens long, words long"
     answers = cut(sent.groupBy("range").applyInArrow(_total, shape))
-    n, v = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("words")).first())
+    # let go of the n-grams' shuffle, the largest of the job: Spark's cleaner frees it when two collections found it unused
     del sent
-    docs.sparkSession._jvm.System.gc()  # Spark's cleaner may now free the shuffle of the n-grams, the largest of the job
+    gc.collect()
+    jvm = docs.sparkSession._jvm
+    jvm.System.gc()
+    n, v = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("words")).first())
+    jvm.System.gc()
     scored = (
         blocks.groupBy("block")
         .cogroup(answers.select("block", "range", "n", "totals").groupBy("block"))
