@@ -16,8 +16,8 @@ A block then builds the part of the automaton that its texts can reach and score
 per text carries the state, takes arcs or falls along failure arcs, and adds up log10 weights.  The state after a token is the
 longest known end of the last two tokens, so the traversal of all of a block's tokens runs in arrays.
 Ranges and blocks both grow with the corpus, so an answer holds fewer entries as it does: in the limit the messages are one n-gram
-each, never more than the distinct n-grams of the blocks.  Words are told apart by 63 bits, longer n-grams by 22 bits more than the
-corpus has bits of length (at most 63): at any size to 2 TB fewer than one n-gram in 4 million shares its hash, and so its count, with another.
+each, never more than the distinct n-grams of the blocks.  Words are told apart by 63 bits, longer n-grams by 20 bits more than the
+corpus has bits of length (at most 63): at any size to 8 TB about one n-gram in a million shares its hash, and so its count, with another.
 
 Results for odd input: a null or empty text is the end token alone; a null id is kept and hashes as the empty string;
 repeated rows are scored one by one; without any training row N and V are 0 and every base probability is 1; an
@@ -26,7 +26,6 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -95,7 +94,7 @@ def _gather(block_bytes: int):
             for k in range(0, b.num_rows, 500):
                 for row, id_, learn, t in zip(*(c.to_pylist() for c in b.slice(k, 500).columns)):
                     first = row if first is None else first
-                    for before, text, last in pieces((t or "").encode("utf-8", "surrogatepass"), block_bytes):
+                    for before, text, last in pieces((t or "").encode("utf-8", "surrogatepass").lower(), block_bytes):
                         held.append((row, learn, before, text, last, id_))
                         size += len(text) + 16
                         if size >= block_bytes:
@@ -139,11 +138,12 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-ONE = np.uint64(1)
+#: The highest bit of a word's hash; longer n-grams have it clear.
+WORD = np.uint64(2**63)
 
 
 def grams_of(block: pa.Table, width: int = 63) -> Grams:
-    """All n-grams of the block's pieces.  The lowest bit of a hash tells words (1) from longer ones (0, of ``width`` bits)."""
+    """All n-grams of the block's pieces.  Hashes of pairs and triples keep ``width`` bits below the highest."""
     index: dict[bytes, int] = {}
     parts, starts, skip, learn, at = [], [0], [], [], 0
     cols = (block.column(c).to_pylist() for c in ("learn", "before", "text", "last"))
@@ -172,8 +172,8 @@ def grams_of(block: pa.Table, width: int = 63) -> Grams:
         h1 = np.zeros(1, dtype=np.uint64)
     h2 = _mix(h1[pairs // size], h1[pairs % size])
     h3 = _mix(h2[triples // size], h1[triples % size])
-    kept = ~np.uint64(2 ** (64 - width) - 1)
-    hashes = np.concatenate([h1 | ONE, h2 & kept, h3 & kept])
+    kept = np.uint64(2**63 - 2 ** (63 - width))
+    hashes = np.concatenate([h1 | WORD, h2 & kept, h3 & kept])
     order = np.argsort(hashes)
     return Grams(x, starts, skip, counted, pairs, triples, pair_at, triple_at, np.concatenate(c)[order], hashes[order], order, size)
 
@@ -182,14 +182,18 @@ def grams_of(block: pa.Table, width: int = 63) -> Grams:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """64-bit integers by byte planes, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    """64-bit integers by byte planes, each compressed for itself: a plane's bytes are alike, planes differ."""
+    planes = values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T
+    packed = [pa.compress(np.ascontiguousarray(p).tobytes(), codec="zstd", asbytes=True) for p in planes]
+    return np.array([len(p) for p in packed], dtype="<u4").tobytes() + b"".join(packed)
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, n * 8, codec="zstd", asbytes=True), dtype=np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+    planes, at = np.empty((n, 8), dtype=np.uint8), 32
+    for k, size in enumerate(np.frombuffer(data, dtype="<u4", count=8).tolist()):
+        planes[:, k] = np.frombuffer(pa.decompress(data[at : at + size], n, codec="zstd", asbytes=True), dtype=np.uint8)
+        at += size
+    return planes.view("<u8").reshape(-1)
 
 
 def _send(bits: int, width: int):
@@ -225,7 +229,7 @@ def _total(table: pa.Table) -> pa.Table:
     new = np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0
     group = np.cumsum(new) - 1
     total = np.add.reduceat(counts[order], np.flatnonzero(new))
-    is_word = (hashes[order][new] & ONE) == ONE
+    is_word = hashes[order][new] >= WORD
     words = int((is_word & (total > 0)).sum())
     spoken = int(total[is_word].sum())
     back = np.empty(len(hashes), dtype=np.int64)
@@ -351,7 +355,7 @@ def score_documents(
     modulus: int = 7,
     held_remainder: int = 2,
     strength: tuple[float, float] = (500.0, 20.0),
-    block_bytes: int = 1 << 22,
+    block_bytes: int = 6 << 20,
 ) -> DataFrame:
     """Score all rows; rows whose crc32 of the id has ``held_remainder`` modulo ``modulus`` are not learned from.
 
@@ -366,19 +370,13 @@ def score_documents(
     )
     kind = src.schema["id"].dataType.simpleString()
     blocks = cut(src.mapInArrow(_gather(block_bytes), "block long, payload binary"))
-    # a range for each block or two, so a range is of a bounded number of n-grams
+    # two to four ranges for each block, half of them for the words, so a range is of a bounded number of n-grams
     n_blocks = max(2, blocks.count())
-    bits, width = (n_blocks - 1).bit_length(), min(63, max(48, 22 + (n_blocks * block_bytes).bit_length()))
+    bits, width = (n_blocks - 1).bit_length() + 1, min(63, max(48, 20 + (n_blocks * block_bytes).bit_length()))
     sent = blocks.mapInArrow(_send(bits, width), "range long, block long, n long, hashes binary, counts binary")
     shape = "range long, block long, n long, totals binary, tokens long, words long"
     answers = cut(sent.groupBy("range").applyInArrow(_total, shape))
-    # let go of the n-grams' shuffle, the largest of the job: Spark's cleaner frees it when two collections found it unused
-    del sent
-    gc.collect()
-    jvm = docs.sparkSession._jvm
-    jvm.System.gc()
     n, v = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("words")).first())
-    jvm.System.gc()
     scored = (
         blocks.groupBy("block")
         .cogroup(answers.select("block", "range", "n", "totals").groupBy("block"))
