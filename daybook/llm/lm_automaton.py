@@ -82,7 +82,7 @@ def _gather(block_bytes: int):
             schema = PIECE.append(pa.field("id", kind))
             table = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=12))) as w:
                 w.write_batch(table)
             # the first row's number is the partition's alone; blocks of one partition count on from it
             return pa.RecordBatch.from_arrays(
@@ -221,7 +221,7 @@ def _send(bits: int, width: int):
 
 
 def _total(table: pa.Table) -> pa.Table:
-    """A range's totals, sent back to each block; ``tokens`` and ``words`` of the range stand in its first row."""
+    """What the other blocks hold of each n-gram of a block, sent back to it; ``tokens`` and ``words`` of the range stand in its first row."""
     n = table.column("n").to_pylist()
     hashes = np.concatenate([np.cumsum(_unpack(h.as_py(), k), dtype=np.uint64) for h, k in zip(table.column("hashes"), n)])
     counts = np.concatenate([_unpack(c.as_py(), k) for c, k in zip(table.column("counts"), n)]).astype(np.int64)
@@ -234,6 +234,7 @@ def _total(table: pa.Table) -> pa.Table:
     spoken = int(total[is_word].sum())
     back = np.empty(len(hashes), dtype=np.int64)
     back[order] = total[group]
+    back -= counts  # what others hold is mostly nothing, so it packs better than the total
     ends = np.cumsum(n)
     rest = [0] * (len(n) - 1)
     return pa.table(
@@ -241,7 +242,7 @@ def _total(table: pa.Table) -> pa.Table:
             "range": table.column("range"),
             "block": table.column("block"),
             "n": table.column("n"),
-            "totals": pa.array([_pack(back[e - k : e]) for e, k in zip(ends, n)], pa.binary()),
+            "others": pa.array([_pack(back[e - k : e]) for e, k in zip(ends, n)], pa.binary()),
             "tokens": pa.array([spoken, *rest], pa.int64()),
             "words": pa.array([words, *rest], pa.int64()),
         }
@@ -321,10 +322,11 @@ def _score(n: int, v: int, strength: tuple[float, float], width: int):
         block = read_block(blocks.column("payload")[0].as_py())
         g = grams_of(block, width)
         answers = answers.sort_by("range")
-        sent = zip(answers.column("totals"), answers.column("n").to_pylist())
-        totals = np.concatenate([_unpack(t.as_py(), k) for t, k in sent]).astype(np.int64)
-        if len(totals) != len(g.hashes):
+        sent = zip(answers.column("others"), answers.column("n").to_pylist())
+        others = np.concatenate([_unpack(t.as_py(), k) for t, k in sent]).astype(np.int64)
+        if len(others) != len(g.hashes):
             raise ValueError("a block's answers are not whole")
+        totals = g.counts + others
         auto = build(g, totals, n, v, strength)
         c1 = np.empty(len(totals), dtype=np.int64)
         c1[g.order] = totals
@@ -374,12 +376,12 @@ def score_documents(
     n_blocks = max(2, blocks.count())
     bits, width = (n_blocks - 1).bit_length() + 1, min(63, max(48, 20 + (n_blocks * block_bytes).bit_length()))
     sent = blocks.mapInArrow(_send(bits, width), "range long, block long, n long, hashes binary, counts binary")
-    shape = "range long, block long, n long, totals binary, tokens long, words long"
+    shape = "range long, block long, n long, others binary, tokens long, words long"
     answers = cut(sent.groupBy("range").applyInArrow(_total, shape))
     n, v = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("words")).first())
     scored = (
         blocks.groupBy("block")
-        .cogroup(answers.select("block", "range", "n", "totals").groupBy("block"))
+        .cogroup(answers.select("block", "range", "n", "others").groupBy("block"))
         .applyInArrow(
             _score(n, v, strength, width), f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double"
         )
