@@ -4,7 +4,7 @@ The byte-level pre-tokenizer cuts a text into pieces that the model encodes one
 two characters that are not white space starts a piece of its own or is the first character of the next one, and
 no piece reaches across it.  So the ids of a text are those of its words one after another, where a word after a space stands
 with that space and a word after a line break with that break; a bounded cache keeps them.  A word of
-letters, with full stops and commas after it or none, is one piece (the word) and at most one more (its end), and goes to the
+letters, with ASCII punctuation after it or none, is one piece (the word) and at most one more (its end), and goes to the
 library's model as such; all other words go through the whole tokenizer.  Texts where white space stands otherwise,
 texts that hold an added token of the tokenizer, and all texts of other kinds of tokenizers are encoded as they are.
 """
@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import os
 from itertools import islice
-from struct import pack
+from string import punctuation
 
 import numpy as np
 
 #: Words a worker keeps (about 200 bytes each); beyond it the later half goes, as common words come early.
 CACHE_WORDS = 600_000
+#: Ends of words that a worker keeps.
+CACHE_ENDS = 10_000
 WHOLE_AT_A_TIME = 4000
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: Letters below this are the same in every version of Unicode's tables.
@@ -65,7 +67,7 @@ class WordEncoder:
         )
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.space = self._shown(" ")
-        self.layout = "H" if self.kind.itemsize == 2 else "I"
+        self.bytes_of = [k.to_bytes(self.kind.itemsize, "little") for k in range(max(self.tok.get_vocab().values(), default=-1) + 1)]
         # the model's character of each byte, as far as safe letters have it
         self.shown = {b: self._shown(c)[k] for c in map(chr, range(0x80, ord(_SAFE))) for k, b in enumerate(c.encode())}
         self.line = self.whole(["\n"])[0]
@@ -92,21 +94,30 @@ class WordEncoder:
 
     def word(self, word: str) -> bytes:
         """The ids of a word after a space, or of a line break and the word after it."""
+        if word.isalpha() and word.isascii():
+            return self._piece(self.space + word)
         after_line = word[:1] == "\n"
         body = word[1:] if after_line else word
-        core = body.rstrip(".,")
+        core = body.rstrip(punctuation)
         if not core.isalpha() or not core.isascii() and max(core) >= _SAFE:
             return self.whole([word if after_line else f" {word}"])[0]
-        shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.shown)
-        ids = [t.id for t in self.model.tokenize(shown if after_line else self.space + shown)]
-        out = pack(f"<{len(ids)}{self.layout}", *ids)
+        # the word without its end may be known
+        out = None if after_line or core == body else self.words.get(core)
+        if out is None:
+            shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.shown)
+            out = self._piece(shown if after_line else self.space + shown)
         if len(core) < len(body):
             end = body[len(core) :]
             if end not in self.ends:
+                if len(self.ends) >= CACHE_ENDS:
+                    self.ends.clear()
                 self.ends[end] = self.whole([end])[0]
             out += self.ends[end]
         return self.line + out if after_line else out
 
+    def _piece(self, shown: str) -> bytes:
+        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(shown)])
+
     def end(self, token: int) -> bytes:
         return np.array([token], dtype=self.kind).tobytes()
 
