@@ -23,8 +23,7 @@ largest holds; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import permutations
@@ -39,10 +38,13 @@ from daybook.llm.common import cut, hot_join
 
 FILTERS = "ABCDE"
 #: Tokens after which a block of documents closes.
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 2_200_000
 #: Low bits of a word id: the word's rank in its partition of the dictionary.
 RANK_BITS = 40
-_SYMBOL = re.compile(rb"[#$%&*|]")
+#: Bytes of texts whose words are counted at a time.
+PIECE_BYTES = 1 << 20
+_SYMBOLS = [b"#", b"$", b"%", b"&", b"*", b"|"]
+_CAPITALS, _INNER = bytes(range(65, 91)), bytes(range(0x80, 0xC0))
 
 
 @dataclass
@@ -67,8 +69,39 @@ def _unpacked(raw: bytes, n: int, kind: str) -> np.ndarray:
 
 def capitals(raw: bytes) -> tuple[int, int]:
     """(A-Z characters, code points) of a UTF-8 text."""
-    b = np.frombuffer(raw, dtype=np.uint8)
-    return int(((b - 65) < 26).sum()), int(((b & 0xC0) != 0x80).sum())
+    return len(raw) - len(raw.translate(None, _CAPITALS)), len(raw.translate(None, _INNER))
+
+
+def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of the rows (id, part, text), each of ``PIECE_BYTES`` of text or one row."""
+    ends = np.cumsum(pc.binary_length(b.column(2)).to_numpy().astype(np.int64))
+    start = 0
+    while start < b.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, before + PIECE_BYTES, "right")), start + 1)
+        yield b.slice(start, stop - start)
+        start = stop
+
+
+def _counted(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, row, code, times, tokens): the distinct words of some texts; per text and word of it, in the texts' order, the
+    text's place, the word's place in ``words`` and how often it stands there; the number of words of each text.
+    """
+    split = pc.ascii_split_whitespace(texts)
+    flat, rows = split.flatten(), np.repeat(np.arange(len(split)), split.value_lengths().to_numpy())
+    # white space at a text's ends leaves empty words
+    there = pc.greater(pc.binary_length(flat), 0)
+    if not pc.all(there, min_count=0).as_py():
+        flat, rows = flat.filter(there), rows[there.to_numpy(zero_copy_only=False)]
+    flat = flat.dictionary_encode()
+    words = flat.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    n = max(1, len(words))
+    key = np.sort(rows * n + flat.indices.to_numpy())
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    row = key[first] // n
+    return words, row, key[first] - row * n, np.diff(first, append=len(key)), np.bincount(rows, minlength=len(split))
 
 
 def _blocks(id_type: pa.DataType):
@@ -99,20 +132,31 @@ def _blocks(id_type: pa.DataType):
             )
 
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                for id_, part, text in zip(*(c.to_pylist() for c in b.slice(k, 200).columns)):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    own = Counter(raw.split())
-                    n = len(own)
-                    big, points = capitals(raw)
-                    ids.append(id_)
-                    parts.append(part)
-                    digests.append(hashlib.sha256(raw).digest())
-                    marks.append((100 * big > 10 * points) + 2 * bool(_SYMBOL.search(raw)))
-                    columns.append(np.fromiter(map(vocab.__getitem__, own), dtype="<u4", count=n))
-                    counts.append(np.fromiter(own.values(), dtype="<u4", count=n))
-                    ends.append(ends[-1] + n)
-                    held += own.total()
+            for part in _pieces(b):
+                own_ids, own_parts = (part.column(c).to_pylist() for c in range(2))
+                raws = part.column(2).cast(pa.binary()).to_pylist()
+                words, row, code, times, tokens = _counted(part.column(2))
+                total, start = np.cumsum(tokens), 0
+                while start < len(raws):
+                    before = total[start - 1] if start else 0
+                    stop = min(int(np.searchsorted(total, before + BLOCK_TOKENS - held)) + 1, len(raws))
+                    here = slice(*np.searchsorted(row, [start, stop]))
+                    if stop - start == len(raws):
+                        place = np.fromiter(map(vocab.__getitem__, words), dtype="<u4", count=len(words))[code]
+                    else:
+                        used, at = np.unique(code[here], return_inverse=True)
+                        place = np.fromiter((vocab[words[u]] for u in used.tolist()), dtype="<u4", count=len(used))[at]
+                    columns.append(place)
+                    counts.append(times[here].astype("<u4"))
+                    ends.extend((ends[-1] + np.cumsum(np.bincount(row[here] - start, minlength=stop - start))).tolist())
+                    ids.extend(own_ids[start:stop])
+                    parts.extend(own_parts[start:stop])
+                    for raw in raws[start:stop]:
+                        big, points = capitals(raw)
+                        digests.append(hashlib.sha256(raw).digest())
+                        marks.append((100 * big > 10 * points) + 2 * any(c in raw for c in _SYMBOLS))
+                    held += int(total[stop - 1] - before)
+                    start = stop
                     if held >= BLOCK_TOKENS:
                         yield out()
                         vocab, ids, parts, digests, marks, columns, counts, ends, held = empty()
