@@ -19,6 +19,20 @@ from pyspark.sql import functions as F
 from daybook.functions.timeutil import day_from_int, local_day_ms
 from daybook.params import DEFAULT, Params
 
+#: Devices that a join of links sends to every task (about 50 bytes each).
+BROADCAST_DEVICES = 2_000_000
+
+
+def _met(devices: DataFrame, links: DataFrame) -> DataFrame:
+    """``devices``, sent to every task where a count proves them few, else without those that no link names.
+
+    Links repeat on every snapshot day, so a shuffle of them by device gathers a common device's links in one task.
+    """
+    if devices.limit(BROADCAST_DEVICES + 1).count() <= BROADCAST_DEVICES:
+        return F.broadcast(devices)
+    named = devices.join(links.select("device_id").distinct(), "device_id", "left_semi")
+    return F.broadcast(named) if named.limit(BROADCAST_DEVICES + 1).count() <= BROADCAST_DEVICES else named
+
 
 def explode_links(prefs: DataFrame, devices: DataFrame, params: Params = DEFAULT, keep=("*",)) -> DataFrame:
     """One row per (preference row, device link) whose device passes the base filter.
@@ -33,7 +47,7 @@ def explode_links(prefs: DataFrame, devices: DataFrame, params: Params = DEFAULT
         F.col("lnk.time_linked_with_user_ms").alias("linked_ms"),
     )
     # the base filter may name any account, link or device column, so columns go after it ran
-    rows = x.join(devices, "device_id").filter(params.base_predicate())
+    rows = x.join(_met(devices, x), "device_id").filter(params.base_predicate())
     return rows if keep == ("*",) else rows.drop(*[c for c in own if c not in keep])
 
 

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 
 def numbered(kept: DataFrame) -> DataFrame:
-    """(day, place): the kept calendar days numbered from 0 (one row per day)."""
+    """(day, place): the kept calendar days numbered from 0 (one row per day).
+
+    Joins send it to every task: days are few, and as keys of a shuffle they would gather each day's accounts in one task.
+    """
     return kept.select(F.col("cal_date").alias("day"), (F.row_number().over(Window.orderBy("cal_date")) - 1).alias("place"))
 
 
@@ -24,7 +27,7 @@ def presence_runs(days: DataFrame, kept: DataFrame) -> DataFrame:
     """
     seen = days.filter(F.col("account_id").isNotNull()).select("account_id", F.col("partition_date").alias("day")).distinct()
     own = Window.partitionBy("account_id").orderBy("place")
-    placed = seen.join(numbered(kept), "day").select("account_id", "place")
+    placed = seen.join(F.broadcast(numbered(kept)), "day").select("account_id", "place")
     return (
         placed.withColumn("run", F.col("place") - F.row_number().over(own))
         .groupBy("account_id", "run")
