@@ -157,7 +157,7 @@ def q_presence_runs(spark, d):
     places = presence.numbered(kept)
     first = places.select(F.col("place").alias("first_place"), F.col("day").alias("first_day"))
     last = places.select(F.col("place").alias("last_place"), F.col("day").alias("last_day"))
-    return runs.join(first, "first_place").join(last, "last_place").select("account_id", "first_day", "last_day")
+    return runs.join(F.broadcast(first), "first_place").join(F.broadcast(last), "last_place").select("account_id", "first_day", "last_day")
 
 
 @register("linked_accounts_daily", O.linked_accounts_daily())
